@@ -211,8 +211,8 @@ def all_texts(extractions: DataFrame, ocr_results: DataFrame, scan_pages: DataFr
     """``field, rid, book, lo, hi, text`` of the three scanned fields; null and empty texts have no lines."""
     none = F.lit(None).cast("int")
     e = extractions.select(F.lit("ocr_text").alias("field"), F.col("extraction_id").alias("rid"), F.col("book_key").alias("book"), none.alias("lo"), none.alias("hi"), F.col("ocr_text").alias("text"))
-    o = ocr_results.select(F.lit("structured_text"), "scan_id", "book_key", F.col("page_from").cast("int"), F.col("page_to").cast("int"), "structured_text")
-    p = scan_pages.select(F.lit("text_with_headers"), "page_id", "book_key", F.col("page_no").cast("int"), F.col("page_no").cast("int"), "text_with_headers")
+    o = ocr_results.select(F.lit("structured_text").alias("field"), F.col("scan_id").alias("rid"), F.col("book_key").alias("book"), F.col("page_from").cast("int").alias("lo"), F.col("page_to").cast("int").alias("hi"), F.col("structured_text").alias("text"))
+    p = scan_pages.select(F.lit("text_with_headers").alias("field"), F.col("page_id").alias("rid"), F.col("book_key").alias("book"), F.col("page_no").cast("int").alias("lo"), (F.col("page_no") + F.lit(0)).cast("int").alias("hi"), F.col("text_with_headers").alias("text"))
     return e.union(o).union(p).filter("text IS NOT NULL AND text != '' AND rid IS NOT NULL")
 
 
