@@ -44,9 +44,10 @@ _STAMP = re.compile(r"^\W*c.?opyr.{1,2}ght\b|\bBuc(?:h|li):?\s*\S+\s+[S5]e.?te:?
 _ROMAN_HEAD = re.compile(r"^#\s+[IVXLCDMl1|]{1,8}\.?\s+(?=\S{2})(.+)$")
 _SECTION = re.compile(r"^##+\s+\d+\.")
 _SPACED = re.compile(r"^(?:#+\s*)?(?:[\dlIOSB]+\.?\s+)?(?:\S ){3,}")
-_ENDS_NUMBER = re.compile(r"^\s*(?:[\dlIOSB]{1,4}\.?\s+(?=\S{3}|\S \S ))|\s+[\dlIOSB]*\d[\dlIOSB]*\.?\s*$")
+_ENDS_NUMBER = re.compile(r"^\s*(?:[\dlIOSB]{1,4}\.?\s+(?=\S{2,} |\S \S ))|\s{2,}[\dlIOSB]*\d[\dlIOSB]*\.?\s*$")
 _CUT = re.compile(rf"(\w+)[{HYPHENS}]\s*$")
 _FIRST = re.compile(r"^\W*(\w+)")
+_BARE = re.compile(r"\s*\S+")
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 _LOOK = 6  # following lines that are looked at inside a record
@@ -64,8 +65,7 @@ def _title_like(line: str) -> str | None:
     """The text of a line that could be a running header, without marks and numbers at its ends."""
     if len(line) > 90:
         return None
-    t = line.lstrip("# ")
-    t = _ENDS_NUMBER.sub("", t)
+    t = _ENDS_NUMBER.sub("", line.strip("# "))
     if not t or t[-1] in ".,;:?!»-‐¬" or any(c in t for c in ".,;:?!"):
         return None
     if not (t[0].isupper() or t[0].isdigit() or line.startswith("#")):
@@ -103,9 +103,11 @@ def _numbers(lines: list[str], lo: int | None, hi: int | None, edges: set[int] |
         if len(line) > 14 or edges is not None and i not in edges:
             continue
         m = _NUMBER.match(line)
-        if not m or not (any(c.isdigit() for c in m[2]) or m[1]):
+        if not m:
             continue
         n = int(m[2].translate(_DIGITS))
+        if not (any(c.isdigit() for c in m[2]) or m[1] or lo is not None and lo <= n <= hi):
+            continue
         before = next((x for x in reversed(lines[:i]) if x.strip()), "")
         last = re.findall(r"\w+", before)[-1:] or [""]
         year = not m[1] and len(m[2]) == 4 and 1400 <= n <= 2099
@@ -114,6 +116,30 @@ def _numbers(lines: list[str], lo: int | None, hi: int | None, edges: set[int] |
     return {i for i, n, doubt in seen if _fits(n, lo, hi) and (not doubt or lo is None and ({n - 1, n + 1} & values) or lo is not None and lo == hi == n)}
 
 
+def _broken_early(lines: list[str], full: list[int], sure: dict[int, str], maybe: dict[int, str]) -> None:
+    """Running lines of sections whose page edges are lost.
+
+    Capital or spaced-out lines are running lines by their form. A title-like
+    line is one, too, if it is clearly shorter than the record's lines although
+    the next word of the text would still have fitted on it: text lines are
+    filled, and a line that ends a paragraph ends with a sentence.
+    """
+    for i in list(maybe):
+        t = lines[i].lstrip("# ")
+        if _SPACED.match(lines[i]) or t.isupper() and len(t.split()) >= 2:
+            sure[i] = "form"
+            del maybe[i]
+    numbered = {i for i in maybe if _ENDS_NUMBER.search(lines[i].lstrip("# "))}
+    text = [i for i in full if i not in sure and i not in numbered]
+    width = max((len(lines[i].rstrip()) for i in text), default=0)
+    for i in [i for i in full if i in maybe]:
+        rest = [j for j in text if j > i]
+        after = _BARE.match(lines[rest[0]]) if rest else None
+        if after and len(lines[i].rstrip()) <= 0.8 * width and len(lines[i].rstrip()) + 1 + len(after[0].strip()) <= width:
+            sure[i] = "form"
+            del maybe[i]
+
+
 def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int | None) -> list[tuple]:
     """Interesting lines of one record: ``(what, line, key, stem, to_end, next)``; lines count from 1."""
     lines = [x.translate(_CLEAN) for x in text.split("\n")]
@@ -151,6 +177,8 @@ def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int
             sure[i] = "name"
         elif len(key) >= 6:
             maybe[i] = key
+    if field == "ocr_text":
+        _broken_early(lines, full, sure, maybe)
     for i, what in sure.items():
         out.append((what, i + 1, "", "", False, []))
     beside = {full[k + d] for k, i in enumerate(full) if i in sure for d in (-1, 1) if 0 <= k + d < len(full)}
@@ -225,7 +253,7 @@ def running_lines(s: DataFrame) -> DataFrame:
 
 def furniture(s: DataFrame) -> DataFrame:
     """``field, rid, line``: lines that belong to the printed page."""
-    sure = s.filter("what IN ('number', 'stamp', 'name')").select("field", "rid", "line")
+    sure = s.filter("what IN ('number', 'stamp', 'name', 'form')").select("field", "rid", "line")
     runs = durable(running_lines(s))
     cand = s.filter("what IN ('edge', 'head') AND book IS NOT NULL").select("what", "field", "rid", "line", "book", "key")
     exact = cand.join(runs, ["book", "key"], "left_semi").select("field", "rid", "line")
