@@ -61,6 +61,9 @@ def fold(text: str) -> str:
     return t.replace("rn", "m").replace("vv", "w").replace("ll", "h").replace("dl", "eh")
 
 
+_CONJUNCTIONS = frozenset(map(fold, CONJUNCTIONS))
+
+
 def _title_like(line: str) -> str | None:
     """The text of a line that could be a running header, without marks and numbers at its ends."""
     if len(line) > 90:
@@ -194,7 +197,8 @@ def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int
             m = _FIRST.match(lines[i])
             if lines[i].startswith("#") and i not in maybe:
                 return got, False  # a heading of the text: no word goes on behind it
-            got.append((i + 1, m[1] if m else ""))
+            # before a conjunction the hyphen belongs to the text: no word goes on there
+            got.append((i + 1, m[1] if m and fold(m[1]) not in _CONJUNCTIONS else ""))
             if i not in maybe:
                 return got, False
         return got, k + _LOOK >= len(full)
@@ -286,10 +290,8 @@ def split_words(s: DataFrame, furn: DataFrame) -> DataFrame:
     late = steps.groupBy("field", "rid", "line", "key", "stem").agg(F.min_by("word", "pos").alias("word"))
 
     pairs = easy.union(late).filter("word != ''")
-    conj = sorted({fold(c) for c in CONJUNCTIONS})
-    fold_word = F.translate(F.lower("word"), "1|!ij06öä5sfſcu8ß", "lllllooaatttenbb")
     starts_low = F.col("word").rlike(r"^[\p{Ll}0-9]") | (F.col("word").rlike(r"^[BI]\p{Ll}"))
-    pairs = pairs.filter(starts_low & ~F.col("word").rlike(r"^[0-9]+$") & ~fold_word.isin(*conj) & (F.char_length("stem") >= 1))
+    pairs = pairs.filter(starts_low & ~F.col("word").rlike(r"^[0-9]+$") & (F.char_length("stem") >= 1))
     pairs = pairs.withColumn("joined", F.lower(F.concat("stem", "word"))).withColumn("hyphenated", F.lower(F.concat_ws("-", "stem", "word")))
 
     wanted = durable(pairs.select("field", "rid", "line", "joined", "hyphenated").distinct())
