@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,22 +147,84 @@ def _decided(form: DataFrame, accepted: DataFrame) -> DataFrame:
     return tokens.join(accepted.withColumn("ok", F.lit(True)), "fixed", "left")
 
 
+def _is_clean(text: str) -> bool:
+    """Whether a text is in its final form already: a fast test by whole-string operations only, never true by mistake."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    if text.isprintable():
+        return "\xa0" not in text and "\xad" not in text and not text.startswith(" ") and not text.endswith(" ")
+    rest = text.replace("\n", "")
+    return rest.isprintable() and " \n" not in text and not text.startswith(" ") and not text.endswith(" ")
+
+
+#: bytes of Latin-1 letters stay, all others separate words
+_LETTERS = bytes(c if chr(c).isalpha() else 0x20 for c in range(256))
+
+
+def _words(text: str, clean: bool) -> list[str]:
+    if clean:
+        return [w.decode("latin-1") for w in text.encode("latin-1").translate(_LETTERS).split()]
+    if _FOREIGN.search(text):
+        text = _TOKEN.sub(lambda m: m[0].translate(_TO_LATIN), text)
+    return _TOKEN.findall(text)
+
+
+_KEYS = "word string, n long, id long, field string, raw long, key1 long, key2 long, at array<int>, token array<string>, fixed array<string>"
+
+
+def _keyed(long: DataFrame) -> DataFrame:
+    """Digests and possible repairs of every field value (``word`` null), and the words as read with their counts, in one pass over the texts."""
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, plainly, other = [], Counter(), Counter()
+            for i, f, t in zip(b["id"], b["field"], b["text"]):
+                raw = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+                at, token, fixed = [], [], []
+                if _is_clean(t):
+                    plainly.update(t.encode("latin-1").translate(_LETTERS).split())
+                else:
+                    t = plain(t)
+                    for a, old, new in repairs(t):
+                        at.append(a)
+                        token.append(old)
+                        fixed.append(new)
+                    other.update(_words(t, False))
+                    if at:
+                        # substitution keeps the number of code points, so offsets stay valid
+                        out, last = [], 0
+                        for a, new in zip(at, fixed):
+                            out += [t[last:a], new]
+                            last = a + len(new)
+                        t = "".join(out) + t[last:]
+                key = xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass"))
+                rows.append((None, 0, i, f, signed(raw), signed(key >> 64), signed(key & ((1 << 64) - 1)), at, token, fixed))
+            for w, n in plainly.items():
+                other[w.decode("latin-1")] += n
+            rows.extend((w, n, 0, None, 0, 0, 0, [], [], []) for w, n in other.items())
+            yield pd.DataFrame(rows, columns=["word", "n", "id", "field", "raw", "key1", "key2", "at", "token", "fixed"])
+
+    return long.select("id", "field", "text").mapInPandas(run, _KEYS)
+
+
 def keys(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """``id, field, raw, key1, key2``: equal keys mean equal repaired text.
 
     The key digests the text with every possible repair made, and apart from
     that the positions and letters of the repairs that the vocabulary refused;
-    so texts need not be rebuilt to be compared.
+    so texts need not be rebuilt, nor leave the pass that reads them.
     """
-    long = _long(df, id_col, text_cols)
-    form = _form(long)
-    every = F.aggregate(
-        F.arrays_zip("at", "fixed"), F.col("text"), lambda t, z: F.concat(F.substring(t, F.lit(1), z["at"]), z["fixed"], F.substring(t, z["at"] + F.char_length(z["fixed"]) + 1, F.char_length(t)))
-    )
-    # substitution keeps the number of code points, so offsets stay valid one after the other
-    body = F.when(F.size("at") > 0, every).otherwise(F.col("text"))
-    small = durable(form.select("id", "field", "raw", F.xxhash64(body).alias("key1"), F.xxhash64(F.lit("second"), body).alias("key2"), "at", "token", "fixed"))
-    refused = _decided(small, _accepted(small, long)).filter("ok IS NULL").groupBy("id", "field", "raw").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("at", "token")))).alias("refused"))
+    both = durable(_keyed(_long(df, id_col, text_cols)))
+    small = both.filter("word IS NULL").drop("word", "n")
+    wanted = durable(small.select(F.explode("fixed").alias("word")).distinct())
+    known = both.filter("word IS NOT NULL").select("word", "n").join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    accepted = durable(known.select(F.col("word").alias("fixed")))
+    refused = _decided(small, accepted).filter("ok IS NULL").groupBy("id", "field", "raw").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("at", "token")))).alias("refused"))
     return small.select("id", "field", "raw", "key1", "key2").join(refused, ["id", "field", "raw"], "left").select("id", "field", "raw", "key1", F.when(F.col("refused").isNotNull(), F.xxhash64("key2", "refused")).otherwise(F.col("key2")).alias("key2"))
 
 
