@@ -60,8 +60,8 @@ def statistics(text: Column) -> dict[str, Column]:
     digits = F.char_length(F.regexp_replace(text, r"[^0-9]+", ""))
     common_in = lambda t: F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w.isin(*sorted(COMMON))))
     solid = lambda t: F.char_length(F.trim(t))
-    # paragraphs with enough common words, less their list lines without any
-    listed = lambda b: F.aggregate(F.filter(F.split(b, "\n"), lambda x: x.rlike(_LIST_LINE) & (common_in(x) == 0)), F.lit(0), lambda a, x: a + solid(x))
+    # paragraphs with enough common words, less their list lines with at most one
+    listed = lambda b: F.aggregate(F.filter(F.split(b, "\n"), lambda x: x.rlike(_LIST_LINE) & (common_in(x) < 2)), F.lit(0), lambda a, x: a + solid(x))
     blocks = F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(r"\S"))
     in_prose = F.aggregate(blocks, F.lit(0), lambda a, b: a + F.when(100 * common_in(b) >= BLOCK_DENSITY * F.char_length(b), solid(b) - listed(b)).otherwise(0))
     in_blocks = F.aggregate(blocks, F.lit(0), lambda a, b: a + solid(b))
