@@ -8,11 +8,27 @@ used for checking.
 
 from __future__ import annotations
 
+import re
+
 _BLANKS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = f"[{_BLANKS}]"
 NOT_WS = f"[^{_BLANKS}]"
 
 
+_WORD = "[A-Za-z0-9_]"
+
+
+def _boundary(pattern: str, after: int, general: str) -> str:
+    """A word boundary; a single look-around where a word sign surely follows or precedes it."""
+    if not general.startswith("(?"):
+        return general
+    if re.match(r"\(?(?:[A-Za-z0-9_](?![?*{])|\[[a-zA-Z0-9-]+\](?![?*{]))", pattern[after:]):
+        return f"(?<!{_WORD})"
+    if re.search(r"[A-Za-z0-9_]$", pattern[: after - 2]) and not re.search(r"\\.$", pattern[: after - 2]):
+        return f"(?!{_WORD})"
+    return general
+
+
 def _translate(pattern: str, boundary: str, end: str) -> str:
     out, i, inside = [], 0, False
     while i < len(pattern):
@@ -25,7 +41,7 @@ def _translate(pattern: str, boundary: str, end: str) -> str:
             elif n == "S" and not inside:
                 out.append(NOT_WS)
             elif n == "b" and not inside:
-                out.append(boundary)
+                out.append(_boundary(pattern, i, boundary))
             elif n == "w":
                 out.append("A-Za-z0-9_" if inside else "[A-Za-z0-9_]")
             elif n == "d":

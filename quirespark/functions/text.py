@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -99,13 +100,32 @@ def remove_garbage(t: Column) -> Column:
     return trim(replace(x, r"\s{2,}", " "))
 
 
+def _fragments(pattern: str) -> list[str]:
+    """Small-letter strings of which a text must hold one for the pattern to match."""
+    body = re.sub(r"\(\?=.*\)$", "", pattern.replace(r"\b", ""))
+    m = re.fullmatch(r"(.*?)\[(\w+)\](.*)", body)
+    if "(" in body:
+        return [re.sub(r"\(\[a-zA-Z\]\+\)", "", body).lower()]
+    return [f"{m[1]}{c}{m[3]}".lower() for c in m[2]] if m else [body.lower()]
+
+
 def fix_umlauts(t: Column, rules: list[tuple[str, bool, str]] | None = None) -> tuple[Column, Column]:
-    """The corrected text, and how often the rules match the text as it was."""
-    out, n = t, F.lit(0)
-    for pattern, ignore, by in P.UMLAUT_RULES if rules is None else rules:
+    """The corrected text, and how often the rules match the text as it was.
+
+    Most texts hold none of the rules' letters; a plain substring test spares
+    them the expressions without changing any result.
+    """
+    rules = P.UMLAUT_RULES if rules is None else rules
+    low = F.lower(t)
+    out, n, some = t, F.lit(0), F.lit(False)
+    for pattern, ignore, by in rules:
+        held = F.lit(False)
+        for f in _fragments(pattern):
+            held = held | F.contains(low, F.lit(f))
         out = replace(out, pattern, by, ignore)
-        n = n + count(t, pattern, ignore)
-    return out, n.cast("long")
+        n = n + F.when(held, count(t, pattern, ignore)).otherwise(0)
+        some = some | held
+    return F.when(some, out).otherwise(t), F.when(t.isNotNull(), n).cast("long")
 
 
 def collapse_blanks(t: Column) -> Column:
@@ -155,8 +175,6 @@ def strip_html(t: Column) -> Column:
 
     @F.pandas_udf("string")
     def numeric(s: pd.Series) -> pd.Series:
-        import re
-
         def one(m: re.Match) -> str:
             n = int(m[1]) if m[1] else int(m[2], 16)
             return chr(n & 0xFFFF) if n < 0x110000 and not 0xD800 <= n & 0xFFFF < 0xE000 else "�"
@@ -275,8 +293,6 @@ def remove_patterns(t: Column, patterns: list[str], bare_is_regex: bool) -> tupl
     Also gives the matches of each pattern, counted on the text it is applied
     to. Patterns that do not compile are left out.
     """
-    import re
-
     n = F.lit(0)
     for p in patterns:
         m = re.fullmatch(r"/(.*)/([a-z]*)", p, re.S)
