@@ -308,3 +308,14 @@ def remove_patterns(t: Column, patterns: list[str], bare_is_regex: bool) -> tupl
         n = n + count(t, body, "i" in flags)
         t = replace(t, body, "", "i" in flags)
     return t, n.cast("long")
+
+
+def info(t: Column) -> dict[str, Column]:
+    """Lines, words, characters, control characters and language of a text as it came."""
+    return {"lines": line_count(t), "words": word_count(t), "chars": F.char_length(t).cast("long"), "has_control": t.rlike(CONTROL), "language": language(t)}
+
+
+def character_replacement(c: Column) -> Column:
+    """The plain character for one that recognition put; '' for any other."""
+    table = F.create_map(*[F.lit(x) for pair in P.CHARACTERS.items() for x in pair])
+    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(table, c), F.lit("")))

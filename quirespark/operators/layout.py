@@ -27,7 +27,7 @@ OCR_SCHEMA = (
 TOLERANCE = 7.0
 PAGE_CENTRE, CENTRE_TOLERANCE, WIDTH_SHARE = 1240.0, 100.0, 0.99
 #: line type -> (offset from the text's left edge, tolerance), in the order in which types claim clusters
-OFFSETS = {"paragraph-start": (50.0, 15.0), "footnote-text": (0.0, 15.0), "footnote-start": (20.0, 15.0), "quote-text": (100.0, 15.0)}
+OFFSETS = P.BOOK_TYPES["collected-works"]["offsets"]
 
 
 def flatten(pages: DataFrame) -> DataFrame:
@@ -128,14 +128,13 @@ def footnote_mark(words: Column) -> Column:
 
 
 # --- header patterns -------------------------------------------------------------
-_ORDINALS = "erster zweiter dritter vierter fünfter sechster siebter siebenter achter neunter zehnter elfter zwölfter".split()
 PLACEHOLDERS: list[tuple[str, str]] = [
     ("roman-number", "(" + "|".join(P.ROMAN) + ")"),
     ("title-in-capital-letters", "([A-ZÄÖÜ0-9][A-ZÄÖÜ «»-]*)"),
     ("decimal-number", r"(\d+)"),
     ("title", "([A-ZÄÖÜ«»-][^.]{2,}?)"),
     ("title-with-decimal-number", r"(\d+\.\s+(?!(?:" + "|".join(P.MONTHS) + r")(?![A-Za-z0-9_]))[A-ZÄÖÜ«»-][^.]{2,}?)"),
-    ("german-ordinal", "(" + "|".join(_ORDINALS) + ")"),
+    ("german-ordinal", "(" + "|".join(P.ORDINALS) + ")"),
     ("place", r"([A-ZÄÖÜ][A-Za-zäöüÄÖÜß\s-]+?)"),
     ("long-date", r"(\d{1,2}\.\s+(?:" + "|".join(P.MONTHS) + r")\s+\d{4})"),
     ("no-paragraph-end-marker", r"((?:(?!(?:!|\?|\.»|!»|\?»)$)(?![0-9a-z])[\s\S])+?)"),
@@ -166,12 +165,17 @@ def match_header(t: Column, pattern: str) -> tuple[Column, Column]:
     return hit, F.when(hit, F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
 
 
+def ordinal(t: Column) -> Column:
+    """The number that opens or is a heading: a roman number of I to C, else digits, else a German ordinal; null for none."""
+    roman = F.regexp_extract(t, java(r"\b(" + "|".join(P.ROMAN) + r")\b"), 1)
+    digits = F.regexp_extract(t, java(r"(\d+)"), 1)
+    german = F.regexp_extract(F.lower(t), "(?<![a-zäöüß])(" + "|".join(sorted(P.ORDINALS, key=len, reverse=True)) + ")(?![a-zäöüß])", 1)
+    lookup = lambda table: F.create_map(*[v for k, n in table.items() for v in (F.lit(k), F.lit(n))])
+    return F.coalesce(F.try_element_at(lookup(P.ROMAN), roman), F.try_to_number(F.nullif(digits, F.lit("")), F.lit("9" * 18)).cast("int"), F.try_element_at(lookup(P.ORDINALS), german)).cast("long")
+
+
 # --- the page fold --------------------------------------------------------------------
-HEADER_LEVELS: list[list[tuple[str, bool]]] = [
-    [("{roman-number}", False), ("{title-in-capital-letters}{no-paragraph-end-marker}", True), ("{title-in-capital-letters}", True), ("{roman-number} {title-in-capital-letters}", True)],
-    [("{title-with-decimal-number}", False), ("{decimal-number}. {title}", False)],
-    [],
-]
+HEADER_LEVELS: list[list[tuple[str, bool]]] = P.BOOK_TYPES["collected-works"]["headers"]
 
 
 def _garbage(t: str) -> str:

@@ -167,3 +167,17 @@ def structure_quality(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n, ok, o = F.coalesce("nh", F.lit(0)), F.coalesce("consistent", F.lit(True)), F.coalesce("no", F.lit(0))
     score = F.greatest(F.lit(0), 100 - F.when(n == 0, 30).otherwise(0) - F.when(~ok, 15).otherwise(0) - 5 * o)
     return j.select("id", n.cast("long").alias("n_headers"), F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"), ok.alias("consistent"), o.cast("long").alias("n_orphans"), score.cast("long").alias("score"), F.round(F.least(F.lit(1.0), n / 10), 6).alias("completeness"))
+
+
+def hierarchy(h: DataFrame) -> DataFrame:
+    """``id, max_level, n_headers, n_chapters, n_lectures, n_sections, numbering_style`` of documents with headers."""
+    style = F.when(F.col("number").rlike(r"^[0-9]+\z"), "numeric").when(F.col("number").rlike(r"(?i)^[IVXLCDM]+\z"), "roman").when(F.col("number").rlike(r"(?i)^[A-Z]\z"), "alphabetic")
+    of = lambda k: F.count_if(F.col("type") == k)
+    g = h.withColumn("style", style).groupBy("id").agg(F.max("level").alias("max_level"), F.count("*").alias("n_headers"), of("chapter").alias("n_chapters"), of("lecture").alias("n_lectures"), of("section").alias("n_sections"), F.min("style").alias("a"), F.max("style").alias("z"))
+    return g.select("id", "max_level", "n_headers", "n_chapters", "n_lectures", "n_sections", F.when(F.col("a").isNull(), "numeric").when(F.col("a") == F.col("z"), F.col("a")).otherwise("mixed").alias("numbering_style"))
+
+
+def recommendations(quality: DataFrame, n_footnotes: Column, n_dialogues: Column) -> DataFrame:
+    """Adds ``recommendations`` to rows of structure_quality(): four rules in fixed order."""
+    r = F.array(F.when(F.col("n_headers") == 0, "add_headers"), F.when(n_footnotes > 20, "many_footnotes"), F.when(~F.col("consistent"), "standardize_numbering"), F.when(n_dialogues > 0, "check_dialogues"))
+    return quality.withColumn("recommendations", F.array_join(F.array_compact(r), ","))

@@ -58,6 +58,15 @@ def warnings(e: DataFrame) -> DataFrame:
     return single.union(again).union(jump)
 
 
+def suggested_format(entry: Column, paragraph: bool) -> dict[str, Column]:
+    """Format errors of a contents or paragraph entry, and a suggestion; the length rule comes last and wins."""
+    t = T.trim(entry)
+    head, most, lead = (_any(t, [(r"^[§¶P]", False), (r"^Paragraph\s+\d+", True)]), 500, "§1 ") if paragraph else (_any(t, [(r"^\d+\.", False), (r"^Chapter\s+\d+", True)]), 100, "1. ")
+    long = F.char_length(entry) > most
+    errors = F.array_join(F.array_compact(F.array(F.when(~head, "start"), F.when(long, "length"))), ",")
+    return {"errors": F.when(entry.isNotNull(), errors), "suggestion": F.when(long, F.concat(F.substring(entry, 1, most), F.lit("..."))).when(~head, F.concat(F.lit(lead), t)).otherwise(entry)}
+
+
 def missing_numbers(e: DataFrame) -> DataFrame:
     """``book_key, missing``: paragraph numbers from 1 to the largest that no entry has."""
     p = classify(e).filter("is_paragraph AND paragraph_no > 0").select("book_key", "paragraph_no").distinct()

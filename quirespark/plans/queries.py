@@ -18,6 +18,7 @@ from quirespark.functions import patterns as P
 from quirespark.functions import text as T
 from quirespark.functions.regex import NOT_WS, WS, re2
 from quirespark.operators import chunks as C
+from quirespark.operators import enhance as H
 from quirespark.operators import layout as Y
 from quirespark.operators import lines as L
 from quirespark.operators import runs as R
@@ -825,6 +826,65 @@ def enhancement_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.enhancement_summary(table(spark, d, "enhancements").distinct())
 
 
+@query()
+def issue_list(spark: SparkSession, d: str) -> DataFrame:
+    return H.issues(table(spark, d, "extractions").select("extraction_id", "ocr_text").distinct(), "extraction_id", "ocr_text")
+
+
+@query()
+def enhance_text(spark: SparkSession, d: str) -> DataFrame:
+    return H.enhance(table(spark, d, "extractions").select("extraction_id", "ocr_text").distinct(), "extraction_id", "ocr_text")
+
+
+@query()
+def preprocess_text(spark: SparkSession, d: str) -> DataFrame:
+    return H.preprocess(table(spark, d, "scan_pages"), "page_id", "text_with_headers", _REMOVE)
+
+
+@query(f"""
+    SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS lines, len({_words('text')})::BIGINT AS words, length(text)::BIGINT AS chars, regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS has_control,
+           CASE WHEN {_hint_sql(P.GERMAN_HINTS)} > {_hint_sql(P.ENGLISH_HINTS)} THEN 'de' WHEN {_hint_sql(P.ENGLISH_HINTS)} > {_hint_sql(P.GERMAN_HINTS)} THEN 'en' WHEN text IS NOT NULL THEN 'auto' END AS language FROM documents""")
+def text_info(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.info(F.col("text")).items()])
+
+
+@query(f"""
+    WITH {_LINES}, h AS ({_headers_sql()}), g AS (SELECT id, max(level) AS max_level, count(*) AS n_headers, count_if(type = 'chapter')::BIGINT AS n_chapters, count_if(type = 'lecture')::BIGINT AS n_lectures, count_if(type = 'section')::BIGINT AS n_sections,
+        list_distinct(list(CASE WHEN regexp_matches(number, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(number, '(?i)^[IVXLCDM]+$') THEN 'roman' WHEN regexp_matches(number, '(?i)^[A-Z]$') THEN 'alphabetic' END)) AS s FROM h GROUP BY id)
+    SELECT id, max_level, n_headers, n_chapters, n_lectures, n_sections, CASE len(list_filter(s, lambda y: y IS NOT NULL)) WHEN 0 THEN 'numeric' WHEN 1 THEN list_filter(s, lambda y: y IS NOT NULL)[1] ELSE 'mixed' END AS numbering_style FROM g""")
+def structure_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return L.hierarchy(L.headers(_enhanced(spark, d), "enhancement_id", "enhanced_text"))
+
+
+@query(f"""
+    WITH {_CLS}, t AS (SELECT *, {_ET} AS x FROM c WHERE entry IS NOT NULL)
+    SELECT book_key, idx, array_to_string(list_filter([CASE WHEN NOT {_or('x', [(r'^[0-9]+[.]', False), (r'^Chapter[ ]+[0-9]+', True)])} THEN 'start' END, CASE WHEN length(entry) > 100 THEN 'length' END], lambda y: y IS NOT NULL), ',') AS errors,
+           CASE WHEN length(entry) > 100 THEN substring(entry, 1, 100) || '...' WHEN NOT {_or('x', [(r'^[0-9]+[.]', False), (r'^Chapter[ ]+[0-9]+', True)])} THEN '1. ' || x ELSE entry END AS suggestion FROM t""")
+def toc_format(spark: SparkSession, d: str) -> DataFrame:
+    f = S.suggested_format(F.col("entry"), paragraph=False)
+    return _entries(spark, d).filter("entry IS NOT NULL").select("book_key", F.col("idx").cast("long").alias("idx"), f["errors"].alias("errors"), f["suggestion"].alias("suggestion"))
+
+
+@query(f"""
+    WITH l AS (SELECT page_id, {_trim('line')} AS line FROM (SELECT page_id, unnest(string_split(text_with_headers, chr(10))) AS line FROM (SELECT DISTINCT page_id, text_with_headers FROM scan_pages)) WHERE prefix(line, '#'))
+    SELECT page_id, line, coalesce(r.n, try_cast(nullif(regexp_extract(line, '([0-9]+)', 1), '') AS INT))::BIGINT AS number
+    FROM l LEFT JOIN (VALUES {_values(list(P.ROMAN.items()))}) AS r(k, n) ON r.k = regexp_extract(line, '\\b({"|".join(P.ROMAN)})\\b', 1)""")
+def heading_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "scan_pages").select("page_id", "text_with_headers").distinct().select("page_id", F.explode(F.split("text_with_headers", "\n")).alias("line"))
+    x = x.filter(F.col("line").startswith("#")).withColumn("line", T.trim(F.col("line")))
+    return x.select("page_id", "line", Y.ordinal(F.col("line")).alias("number"))
+
+
+@query("""
+    WITH m AS (SELECT book_key, arg_max(original.size, registered_at) AS size FROM manifests GROUP BY book_key), t AS (SELECT book_key, sum(length(extracted_text))::BIGINT AS chars, count(*) AS sections FROM (SELECT DISTINCT extraction_id, book_key, extracted_text FROM extractions) GROUP BY book_key)
+    SELECT book_key, sections, chars, round(chars::DOUBLE / nullif(size, 0), 6) AS compression_ratio FROM t JOIN m USING (book_key)""")
+def extraction_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of a book's text against the size of its file (D29)."""
+    m = table(spark, d, "manifests").groupBy("book_key").agg(F.max_by("original.size", "registered_at").alias("size"))
+    t = table(spark, d, "extractions").select("extraction_id", "book_key", "extracted_text").distinct().groupBy("book_key").agg(F.sum(F.char_length("extracted_text")).alias("chars"), F.count("*").alias("sections"))
+    return t.join(m, "book_key").select("book_key", "sections", "chars", F.round(F.col("chars") / F.nullif(F.col("size"), F.lit(0)), 6).alias("compression_ratio"))
+
+
 # --- run logs (D23-D25, D29, E12, H29, H30) -------------------------------------------------------------
 @query("SELECT event_type, count(*) AS n, count_if(value >= 50)::BIGINT AS n_done, round(count_if(value >= 50) / count(*), 6) AS success_rate, round(sum(value), 2) AS total, round(avg(value), 4) AS average FROM events GROUP BY event_type")
 def run_rollup(spark: SparkSession, d: str) -> DataFrame:
