@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import durable
+from quirespark.llm.lookalikes import _TO_LATIN, plain
 
 # --- fixed values --------------------------------------------------------------
 HYPHENS = "-‐¬‑⸗"
@@ -54,6 +55,14 @@ _LOOK = 6  # following lines that are looked at inside a record
 _PAGES = 4  # following pages (of which some may be empty) that are looked at
 
 
+def _plain_line(line: str) -> str:
+    """A line in narrow, composed, visible characters and Latin letters; most lines are that already."""
+    line = line.translate(_CLEAN)
+    if not line.isascii() and any(c > "\u02ff" for c in line):
+        line = plain(line).translate(_TO_LATIN) if line.strip() else line
+    return line
+
+
 def fold(text: str) -> str:
     """A key in which the usual misreadings of a line coincide; blanks, case and signs do not count."""
     t = text.lower().translate(_FOLD)
@@ -134,9 +143,11 @@ def _broken_early(lines: list[str], full: list[int], sure: dict[int, str], maybe
             del maybe[i]
     numbered = {i for i in maybe if _ENDS_NUMBER.search(lines[i].lstrip("# "))}
     text = [i for i in full if i not in sure and i not in numbered]
-    width = max((len(lines[i].rstrip()) for i in text), default=0)
+    lengths = sorted(len(lines[i].rstrip()) for i in text)
+    width = lengths[int(0.85 * (len(lengths) - 1))] if lengths else 0  # a few lines may stand out
     for i in [i for i in full if i in maybe]:
-        rest = [j for j in text if j > i]
+        # the next line of the text: what looks like another running line is passed over
+        rest = [j for j in text if j > i and (j not in maybe or len(lines[j].rstrip()) > 0.8 * width)]
         after = _BARE.match(lines[rest[0]]) if rest else None
         if after and len(lines[i].rstrip()) <= 0.8 * width and len(lines[i].rstrip()) + 1 + len(after[0].strip()) <= width:
             sure[i] = "form"
@@ -145,7 +156,7 @@ def _broken_early(lines: list[str], full: list[int], sure: dict[int, str], maybe
 
 def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int | None) -> list[tuple]:
     """Interesting lines of one record: ``(what, line, key, stem, to_end, next)``; lines count from 1."""
-    lines = [x.translate(_CLEAN) for x in text.split("\n")]
+    lines = [_plain_line(x) for x in text.split("\n")]
     full = [i for i, x in enumerate(lines) if x.strip()]
     page = field == "text_with_headers"
     edges = {*full[:3], *full[-3:]} if page else None
