@@ -139,14 +139,10 @@ def _units(text: str) -> tuple[list[int], list[int], list[int | None]]:
     return starts, short, [digest(raw[4 * s : 4 * (s + MIN_LEN)]) if s <= last else 0 for s in starts]
 
 
-def fields(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None = None) -> DataFrame:
-    """One row per stored field value: ``id, field, rank, text``; null and too short values have none."""
-    rank = F.col(rank_col).cast("timestamp") if rank_col else F.lit(None).cast("timestamp")
-    long = df.select(
-        F.col(id_col).cast("long").alias("id"),
-        rank.alias("rank"),
-        F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("field"), F.col(c).alias("text")) for i, c in enumerate(text_cols)])).alias("f"),
-    ).select("id", "rank", "f.field", "f.text")
+def fields(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+    """One row per stored field value: ``id, field, text``; null and too short values have none."""
+    parts = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("field"), F.col(c).alias("text")) for i, c in enumerate(text_cols)]))
+    long = df.select(F.col(id_col).cast("long").alias("id"), parts.alias("f")).select("id", "f.field", "f.text")
     return long.filter(F.col("id").isNotNull() & (F.char_length("text") >= MIN_LEN))
 
 
@@ -171,15 +167,16 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
 def candidates(long: DataFrame) -> DataFrame:
     """The units that another id holds as well, cut from the lineage: all later steps start from these few rows.
 
-    The units are shuffled once by digest; grouping and the join back share that exchange.
+    Grouping aggregates before its shuffle, and the join back leaves its own shuffle to adaptive skew
+    splitting; so a unit that a third of all records hold burdens no single task. Both read the texts.
     """
-    u = units(long).repartition("digest")
+    u = units(long)
     return durable(u.join(shared(u, "digest"), "digest", "left_semi"))
 
 
 def regions(hits: DataFrame) -> DataFrame:
-    """``id, field, starts``: the candidate unit starts of one field value, bounded by that value's length."""
-    return hits.groupBy("id", "field").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    """``id, field, starts, rank``: the candidate unit starts of one field value, bounded by that value's length."""
+    return hits.groupBy("id", "field").agg(F.array_sort(F.collect_set("start")).alias("starts")).withColumn("rank", F.lit(0).cast("long"))
 
 
 def _window_starts(n: int, starts: np.ndarray) -> np.ndarray:
@@ -194,14 +191,14 @@ def _window_starts(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def windows(long: DataFrame, where: DataFrame) -> DataFrame:
-    """``id, field, at, digest``: the exact windows over the given regions.
+    """``digest, id, rank, field, at``: the exact windows over the given regions.
 
     The regions are broadcast while they are few (at most ``BROADCAST_BYTES``); beyond that both sides are shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, f, t, s in zip(b["id"], b["field"], b["text"], b["starts"]):
+            for i, f, t, s, r in zip(b["id"], b["field"], b["text"], b["starts"], b["rank"]):
                 codes = _codes(t)
                 at = _window_starts(len(codes), np.asarray(s, np.int64))
                 if not len(at):
@@ -210,13 +207,13 @@ def windows(long: DataFrame, where: DataFrame) -> DataFrame:
                 d = _rolling(codes[lo:hi], MIN_LEN)[at - lo].view(np.int64)
                 for k in range(0, len(at), 65536):  # a very long text leaves in pieces
                     m = min(65536, len(at) - k)
-                    yield pd.DataFrame({"id": np.full(m, i), "field": np.full(m, f, "int32"), "at": at[k : k + m].astype("int32"), "digest": d[k : k + m]})
+                    yield pd.DataFrame({"digest": d[k : k + m], "id": np.full(m, i), "rank": np.full(m, r), "field": np.full(m, f, "int32"), "at": at[k : k + m].astype("int32")})
 
     where = durable(where)
     size = where.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("s")).first()
     if size["n"] * 64 + size["s"] * 4 <= BROADCAST_BYTES:
         where = F.broadcast(where)
-    return long.select("id", "field", "text").join(where, ["id", "field"]).mapInPandas(run, "id long, field int, at int, digest long")
+    return long.select("id", "field", "text").join(where, ["id", "field"]).mapInPandas(run, "digest long, id long, rank long, field int, at int")
 
 
 def found(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -233,7 +230,7 @@ def found(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     whole = hits.filter("whole != 0").select("whole", "id")
     settled = durable(whole.join(shared(whole, "whole"), "whole", "left_semi").select("id").distinct())
     open_units = hits.join(settled, "id", "left_anti").select("digest").distinct()
-    w = windows(long, regions(hits.join(open_units, "digest", "left_semi"))).select("digest", "id").repartition("digest")
+    w = windows(long, regions(hits.join(open_units, "digest", "left_semi"))).select("digest", "id")
     more = w.join(shared(w, "digest"), "digest", "left_semi").select("id")
     return settled.union(more).select(F.col("id").alias(id_col)).distinct()
 
@@ -246,15 +243,16 @@ def spans(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None
     how many of its code points lie in windows of which an earlier ranked
     record (rank, then id) holds the first occurrence.
     """
-    long = fields(df, id_col, text_cols, rank_col)
-    ranks = df.select(F.col(id_col).cast("long").alias("id"), (F.col(rank_col).cast("timestamp") if rank_col else F.lit(None).cast("timestamp")).alias("rank")).groupBy("id").agg(F.min("rank").alias("rank"))
-    w = windows(long, regions(candidates(long))).join(ranks, "id")
-    first = (
-        w.groupBy("digest")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct(F.coalesce("rank", F.lit("9999-01-01").cast("timestamp")).alias("rank"), F.col("id"))).alias("first"))
-        .filter("lo < hi")
-        .select("digest", F.col("first.id").alias("first_id"))
-    )
+    long = fields(df, id_col, text_cols)
+    where = regions(candidates(long)).drop("rank")
+    if rank_col:
+        # null ranks come last; a record delivered twice has the rank of its first delivery
+        ranks = df.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.unix_micros(F.col(rank_col).cast("timestamp_ltz"))).alias("rank"))
+        where = where.join(ranks, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(2**62)))
+    else:
+        where = where.withColumn("rank", F.lit(0).cast("long"))
+    w = windows(long, where)
+    first = w.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", F.struct("rank", "id")).alias("first_id")).filter("lo < hi").select("digest", "first_id")
     hit = w.join(first, "digest").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("first_id") != F.col("id")).alias("later")))).alias("w"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
