@@ -94,9 +94,9 @@ def plan(size: DataFrame, targets: DataFrame, total: float | None = None) -> Dat
     t = targets.select(normal_source("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).filter("source IS NOT NULL")
     t = t.groupBy("source").agg(F.sum("share").alias("share"), F.max("max_repeats").alias("max_repeats"))
     j = t.join(size, "source", "left").withColumn("have", F.coalesce("n_tokens", F.lit(0)))
-    # one row per source: a small table whatever the corpus holds
-    limits = j.agg(F.sum("share").alias("sum"), F.min(F.when((F.col("have") > 0) & (F.col("share") > 0), F.col("have") * F.col("max_repeats") / F.col("share"))).alias("least"))
-    j = j.join(F.broadcast(limits))
+    # one row per source: a small table whatever the corpus holds, so one window over all of it
+    every = Window.partitionBy()
+    j = j.withColumns({"sum": F.sum("share").over(every), "least": F.min(F.when((F.col("have") > 0) & (F.col("share") > 0), F.col("have") * F.col("max_repeats") / F.col("share"))).over(every)})
     want = F.lit(float(total)) * F.col("share") / F.col("sum") if total is not None else F.col("least") * F.col("share")
     return j.select("source", F.round(F.col("share") / F.col("sum"), 6).alias("target_share"), "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.col("have").alias("n_tokens"), F.when(F.col("have") > 0, F.least(want / F.col("have"), F.col("max_repeats").cast("double"))).otherwise(0.0).alias("copies"))
 
