@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import durable
@@ -43,8 +43,6 @@ _TO_LATIN = str.maketrans(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN)
 _PLAIN = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in BLANKS}
 _WIDE = re.compile("[․-…]|([！-￮ﬀ-ﬆ]+)")
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: a text without any of these is in its final form already
-DIRTY = r"[^\x0a\x20-\x7e¡-¬®-ɏ‐-―‘-‟…‰-⁞₠-₿]|[ ](?:\n|$)|^[ ]"
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 
 
@@ -90,57 +88,6 @@ def _long(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), parts.alias("f")).select("id", "f.field", "f.text").filter("id IS NOT NULL AND text IS NOT NULL AND text != ''")
 
 
-_SCHEMA = "struct<text: string, at: array<int>, token: array<string>, fixed: array<string>>"
-
-
-def _formed(text: Column) -> Column:
-    """Plain form and possible repairs; clean texts never leave the JVM."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            made = [plain(t) for t in s]
-            fix = [repairs(t) for t in made]
-            yield pd.DataFrame({"text": made, "at": [[a for a, _, _ in f] for f in fix], "token": [[t for _, t, _ in f] for f in fix], "fixed": [[x for _, _, x in f] for f in fix]})
-
-    return F.pandas_udf(run, _SCHEMA)(text)
-
-
-def _form(long: DataFrame) -> DataFrame:
-    """``id, field, raw (digest of the stored text), text (plain form), at, token, fixed``."""
-    raw = F.xxhash64("text").alias("raw")
-    dirty = long.filter(F.col("text").rlike(DIRTY)).select("id", "field", raw, _formed(F.col("text")).alias("f")).select("id", "field", "raw", "f.text", "f.at", "f.token", "f.fixed")
-    none = F.array().cast("array<string>")
-    clean = long.filter(~F.col("text").rlike(DIRTY)).select("id", "field", raw, "text", F.array().cast("array<int>").alias("at"), none.alias("token"), none.alias("fixed"))
-    return dirty.union(clean)
-
-
-def vocabulary(long: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``word``: the wanted words that stand at least MIN_COUNT times in the corpus as read, counted over all texts.
-
-    Words are counted per batch first, so that few rows leave each task.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            c: Counter[str] = Counter()
-            for t in b["text"]:
-                if not t.isascii():
-                    t = plain(t)
-                    if _FOREIGN.search(t):
-                        t = _TOKEN.sub(lambda m: m[0].translate(_TO_LATIN), t)
-                c.update(_TOKEN.findall(t))
-            yield pd.DataFrame({"word": list(c.keys()), "n": list(c.values())})
-
-    counted = long.select("text").mapInPandas(run, "word string, n long").join(wanted, "word", "left_semi")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT).select("word")
-
-
-def _accepted(form: DataFrame, long: DataFrame) -> DataFrame:
-    """``fixed``: repaired tokens that exist in the corpus vocabulary."""
-    wanted = durable(form.select(F.explode("fixed").alias("word")).distinct())
-    return durable(vocabulary(long, wanted).withColumnRenamed("word", "fixed"))
-
-
 def _decided(form: DataFrame, accepted: DataFrame) -> DataFrame:
     """``id, field, raw, ok``: for records with possible repairs, which tokens to replace, joined token by token."""
     tokens = form.filter(F.size("at") > 0).select("id", "field", "raw", F.explode(F.arrays_zip("at", "token", "fixed")).alias("z")).select("id", "field", "raw", "z.at", "z.token", "z.fixed")
@@ -243,10 +190,30 @@ def found(df: DataFrame, id_col: str = "extraction_id", text_cols: tuple[str, ..
 
 
 def repaired(df: DataFrame, id_col: str = "extraction_id", text_cols: tuple[str, ...] = ("extracted_text", "ocr_text")) -> DataFrame:
-    """``id, field, text, repaired_tokens``: every non-empty field value in its one consistent form."""
-    long = _long(df, id_col, list(text_cols)).distinct()
-    form = _form(long)
-    ok = _decided(form, _accepted(form, long)).filter("ok").groupBy("id", "field", "raw").agg(F.array_sort(F.collect_set(F.struct("at", "fixed"))).alias("do"))
-    joined = form.select("id", "field", "raw", "text").join(ok, ["id", "field", "raw"], "left").withColumn("do", F.coalesce("do", F.array().cast("array<struct<at:int,fixed:string>>")))
+    """``id, field, text, repaired_tokens``: every non-empty field value in its one consistent form.
+
+    Values without a possible repair leave the pass that forms them; only the
+    others meet the vocabulary, token by token, and are put together again.
+    """
+    base = _long(df, id_col, list(text_cols))
+    long = base.dropDuplicates(["id", "field", "text"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = [t if _is_clean(t) else plain(t) for t in b["text"]]
+            fix = [repairs(t) for t in text]
+            yield pd.DataFrame({"id": b["id"], "field": b["field"], "text": text, "at": [[a for a, _, _ in f] for f in fix], "token": [[t for _, t, _ in f] for f in fix], "fixed": [[x for _, _, x in f] for f in fix]})
+
+    both = durable(_keyed(base))
+    wanted = durable(both.filter("word IS NULL").select(F.explode("fixed").alias("word")).distinct())
+    known = both.filter("word IS NOT NULL").select("word", "n").join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    accepted = durable(known.select(F.col("word").alias("fixed")))
+
+    form = long.mapInPandas(run, "id long, field string, text string, at array<int>, token array<string>, fixed array<string>")
+    plainly = form.filter(F.size("at") == 0).select("id", "field", "text", F.lit(0).cast("long").alias("n"))
+    some = durable(form.filter(F.size("at") > 0).withColumn("raw", F.xxhash64("text")))
+    ok = _decided(some, accepted).filter("ok").groupBy("id", "field", "raw").agg(F.array_sort(F.collect_set(F.struct("at", "fixed"))).alias("do"))
+    joined = some.select("id", "field", "raw", "text").distinct().join(ok, ["id", "field", "raw"], "left").withColumn("do", F.coalesce("do", F.array().cast("array<struct<at:int,fixed:string>>")))
     text = F.aggregate("do", F.col("text"), lambda t, z: F.concat(F.substring(t, F.lit(1), z["at"]), z["fixed"], F.substring(t, z["at"] + F.char_length(z["fixed"]) + 1, F.char_length(t))))
-    return joined.select(F.col("id").alias(id_col), "field", text.alias("text"), F.size("do").cast("long").alias("repaired_tokens"))
+    out = plainly.union(joined.select("id", "field", text.alias("text"), F.size("do").cast("long").alias("n")))
+    return out.select(F.col("id").alias(id_col), "field", "text", F.col("n").alias("repaired_tokens"))
