@@ -45,29 +45,41 @@ def matches(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     """``doc_id, item_id, doc_pos, item_pos``: every shared window, word positions counted from 0.
 
     Null and empty texts and texts of fewer than ``WINDOW`` words match
-    nothing; repeated rows of one id give their windows once.
+    nothing; repeated rows of one id give their windows once, and an id with
+    several texts gives the windows of each.
     """
+    return _matches(documents, items, doc_id, item_id, text).select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "doc_pos", "item_pos").distinct()
+
+
+def _texts(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """``item_id, t, w``: the different texts of each item, told apart by the digest t of their words."""
+    its = items.select(F.col(item_id).alias("item_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w")).distinct()
+    return its.select("item_id", F.xxhash64("w").alias("t"), "w")
+
+
+def _matches(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """``doc_id, item_id, t, doc_pos, item_pos``; item positions count within the text t."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).filter(F.size("w") >= WINDOW)
-    its = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).filter(F.size("w") >= WINDOW)
+    its = _texts(items, item_id, text).filter(F.size("w") >= WINDOW)
     grams = docs.select("doc_id", "w", F.explode(_grams("w", SHINGLE)).alias("g")).select("doc_id", "w", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
 
     # rarity of the items' shingles over all documents
-    item_grams = durable(its.select("item_id", F.explode(_grams("w", SHINGLE)).alias("g")).select("item_id", "g.pos", "g.gram"))
+    item_grams = durable(its.select("item_id", "t", F.explode(_grams("w", SHINGLE)).alias("g")).select("item_id", "t", "g.pos", "g.gram"))
     known = _maybe_broadcast(item_grams.select("gram").distinct())
     rarity = grams.select("gram").join(known, "gram").groupBy("gram").count()
 
     # each window's rarest shingle; windows with an unseen shingle cannot occur
-    inside = item_grams.join(rarity, "gram", "left").select("item_id", "pos", "gram", F.coalesce("count", F.lit(0)).alias("n"))
-    slots = inside.select("item_id", "gram", "n", F.explode(F.expr(f"transform(sequence(0, {WINDOW - SHINGLE}), k -> struct(pos - k AS item_pos, k AS off))")).alias("s")).select("item_id", "gram", "n", "s.item_pos", "s.off")
-    rare = slots.groupBy("item_id", "item_pos").agg(F.min(F.struct("n", "gram", "off")).alias("r"), F.count("*").alias("have")).filter(f"have = {WINDOW - SHINGLE + 1} AND r.n > 0")
-    whole = its.select("item_id", F.explode(F.expr(f"transform(sequence(0, size(w) - {WINDOW}), i -> struct(i AS item_pos, xxhash64(slice(w, i + 1, {WINDOW}), 13) AS full))")).alias("f")).select("item_id", "f.item_pos", "f.full")
+    inside = item_grams.join(rarity, "gram", "left").select("item_id", "t", "pos", "gram", F.coalesce("count", F.lit(0)).alias("n"))
+    slots = inside.select("item_id", "t", "gram", "n", F.explode(F.expr(f"transform(sequence(0, {WINDOW - SHINGLE}), k -> struct(pos - k AS item_pos, k AS off))")).alias("s")).select("item_id", "t", "gram", "n", "s.item_pos", "s.off")
+    rare = slots.groupBy("item_id", "t", "item_pos").agg(F.min(F.struct("n", "gram", "off")).alias("r"), F.count("*").alias("have")).filter(f"have = {WINDOW - SHINGLE + 1} AND r.n > 0")
+    whole = its.select("item_id", "t", F.explode(F.expr(f"transform(sequence(0, size(w) - {WINDOW}), i -> struct(i AS item_pos, xxhash64(slice(w, i + 1, {WINDOW}), 13) AS full))")).alias("f")).select("item_id", "t", "f.item_pos", "f.full")
     # equal windows of several items travel once
-    tokens = durable(rare.join(whole, ["item_id", "item_pos"]).select(F.col("r.gram").alias("gram"), F.col("r.off").alias("off"), "full", "item_id", "item_pos"))
+    tokens = durable(rare.join(whole, ["item_id", "t", "item_pos"]).select(F.col("r.gram").alias("gram"), F.col("r.off").alias("off"), "full", "item_id", "t", "item_pos"))
     prefix = _maybe_broadcast(tokens.select("gram", "off", "full").distinct())
 
     near = grams.join(prefix, "gram").withColumn("doc_pos", F.expr("pos - off")).filter(f"doc_pos >= 0 AND doc_pos + {WINDOW} <= size(w)")
     exact = near.filter(_window_digest("w", "doc_pos") == F.col("full")).select("doc_id", "doc_pos", "full").distinct()
-    return exact.join(tokens.select("full", "item_id", "item_pos").distinct(), "full").select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "doc_pos", "item_pos")
+    return exact.join(tokens.select("full", "item_id", "t", "item_pos").distinct(), "full").select("doc_id", "item_id", "t", "doc_pos", "item_pos")
 
 
 def found(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -76,11 +88,14 @@ def found(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 
 
 def report(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Per item: documents that leak it, shared windows, and the share of its words that leaked somewhere; items without a leak count 0."""
-    m = matches(documents, items, doc_id, item_id, text)
-    total = items.select(F.col(item_id).alias("item_id"), F.size(words(F.coalesce(F.col(text), F.lit("")))).alias("n_words")).groupBy("item_id").agg(F.max("n_words").cast("long").alias("n_words"))
-    hit = m.groupBy(F.col(item_id).alias("item_id")).agg(F.countDistinct(doc_id).alias("d"), F.countDistinct("item_pos").alias("k"))
-    covered = m.select(F.col(item_id).alias("item_id"), F.explode(F.expr(f"sequence(item_pos, item_pos + {WINDOW - 1})")).alias("p")).groupBy("item_id").agg(F.countDistinct("p").alias("c"))
+    """Per item: documents that leak it, shared windows, and the share of its words that leaked somewhere; items without a leak count 0.
+
+    Where an id has several texts, words and windows of all of them count.
+    """
+    m = _matches(documents, items, doc_id, item_id, text)
+    total = _texts(items, item_id, text).groupBy("item_id").agg(F.sum(F.size("w")).cast("long").alias("n_words"))
+    hit = m.groupBy("item_id").agg(F.countDistinct("doc_id").alias("d"), F.countDistinct("t", "item_pos").alias("k"))
+    covered = m.select("item_id", "t", F.explode(F.expr(f"sequence(item_pos, item_pos + {WINDOW - 1})")).alias("p")).groupBy("item_id").agg(F.countDistinct("t", "p").alias("c"))
     return total.join(hit, "item_id", "left").join(covered, "item_id", "left").select(
         F.col("item_id").alias(item_id),
         "n_words",

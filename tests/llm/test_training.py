@@ -230,6 +230,19 @@ def test_leakage_against_brute_force(spark):
     assert leakage.found(D.limit(0), I).count() == 0 and leakage.found(D, I.limit(0)).count() == 0
 
 
+def test_leakage_of_repeated_items(spark):
+    r = random.Random(17)
+    a, b = ([r.choice(WORDS) + str(i) for i in range(30)] for _ in "ab")
+    items = [(1, " ".join(a)), (1, " ".join(a)), (2, " ".join(a)), (2, " ".join(b)), (3, " ".join(b[:20])), (3, None)]
+    docs = [(10, " ".join(a[5:20])), (11, "x " + " ".join(b[:13])), (12, " ".join(a[:12]))]
+    D = spark.createDataFrame(docs, "doc_id long, text string")
+    I = spark.createDataFrame(items, "item_id long, text string")  # noqa: E741
+    assert sorted(map(tuple, leakage.found(D, I).collect())) == [(10, 1), (10, 2), (11, 2), (11, 3)]
+    assert len(leakage.matches(D, I).filter("item_id = 1").collect()) == 3
+    rep = {x["item_id"]: tuple(x)[1:] for x in leakage.report(D, I).collect()}
+    assert rep == {1: (30, 1, 3, 0.5), 2: (60, 2, 4, round(28 / 60, 6)), 3: (20, 1, 1, 0.65)}
+
+
 # --- problem 7 --------------------------------------------------------------------------------------
 def test_mixing(spark):
     r = random.Random(8)
