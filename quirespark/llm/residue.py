@@ -1,11 +1,17 @@
 """Problem 8: template residue and error-page text.
 
-Method: posts are cut into units (lines, and sentences inside suspicious
-lines) outside code, quotations and quoted phrases. Units are aligned by
-template: numbers, identifiers and whatever a slot holds are masked, and the
-records that share a template induce its slots. A slot that still holds a
-variable's name, a default or nothing makes its records residue; so do units
-whose whole text is a known error or script notice, single or repeated.
+Method: posts are cut into units (lines and their sentences) outside code,
+quotations and quoted phrases. Every unit is masked to a template: numbers,
+versions and identifiers are masked, and templates are counted over the whole
+corpus. The list of known messages is a seed only:
+
+* Lines of error pages are learned: a template that mostly stands behind a known
+  message (or behind a line learned before, until nothing is added) in different
+  posts, or alone as a whole post, is page text wherever a line begins with it.
+* Slots are induced by alignment: units that agree but for one place share a
+  frame, and a frame that different fillings share has a slot there. A slot
+  that is left blank, holds a default in brackets or the name of a variable
+  makes its records residue. Marked slots (``{{name}}``) need no alignment.
 
 What a post says about such things stays out: instructions that name a
 placeholder ("Replace <YOUR_TOKEN> with your own value") keep the same filling in
@@ -19,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +139,7 @@ def _filler(unit: str) -> bool:
 def _mask(unit: str) -> str:
     t = SLOT.sub("‹slot›", unit)
     t = re.sub(r"\b[0-9a-f]*\d[0-9a-f]*\b|\d+", "‹n›", t)
+    t = re.sub(r"\b[A-Za-z][\w-]*/‹n›(?:\.‹n›)+", "‹name›/‹n›", t)
     return re.sub(r"\b[A-Z][a-z]+(?:base|core|flow|kit|mill|pad)\b", "‹name›", t)
 
 
@@ -150,24 +158,60 @@ def kind_of(unit: str, line_start: bool) -> str | None:
 
 
 def units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, kind, template, slots``: the suspicious units of each post."""
+    """``doc_id, kind, template, slots, instruction``: the units of each post that are residue by themselves."""
+    return pieces(documents, doc_id, text).filter("kind IS NOT NULL").select("doc_id", "kind", "template", "slots", "instruction")
+
+
+def _digest(t: str) -> int:
+    return xxhash.xxh64_intdigest(t) - (1 << 63)
+
+
+_PIECES = "doc_id long, kind string, template string, slots array<string>, instruction boolean, t long, prev long, first long, starts boolean, size int, n_words int"
+
+
+def _post(text: str) -> list[list]:
+    """``kind, template, slots, instruction, starts`` of each unit of a post in their order; ``starts``: at a line's start."""
+    out = []
+    for line in prose_lines(text):
+        kind = kind_of(line, True) if _suspicious(line.lower()) else None
+        if kind and not SLOT.search(line):
+            out.append([kind, _mask(line), [], bool(INSTRUCTION.search(line)), True])
+            m = kind == "error" and ERROR.match(line) or kind == "notice" and NOTICE.match(line)
+            rest = line[m.end() :] if m else ""
+            if m and line[m.end() - 1] not in ".!?":  # what is left of the message's own sentence
+                rest = "".join(_SENTENCE.split(rest, maxsplit=1)[1:])
+            out += [[None, _mask(x), [], False, False] for x in _SENTENCE.split(rest.strip(" .!:")) if x]
+            continue
+        for n, unit in enumerate(_SENTENCE.split(line)):
+            kind = kind_of(unit, n == 0) if _suspicious(unit.lower()) else None
+            out.append([kind, _mask(unit), [m.group(0) for m in SLOT.finditer(unit)], kind is not None and bool(INSTRUCTION.search(unit)), n == 0])
+    return out
+
+
+def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """Every prose unit of all posts; its template as digest ``t``, as text only if it has a kind (or all, if ``whole``).
+
+    ``prev`` is the digest of the unit before it (0 for a known message, null
+    for none), ``first`` that of the post's first unit.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                for line in prose_lines(t):
-                    if not _suspicious(line.lower()):
-                        continue
-                    kind = kind_of(line, True)
-                    for n, unit in enumerate([line] if kind and not SLOT.search(line) else _SENTENCE.split(line)):
-                        kind = kind_of(unit, n == 0)
-                        if kind:
-                            rows.append((i, kind, _mask(unit), [m.group(0) for m in SLOT.finditer(unit)], bool(INSTRUCTION.search(unit))))
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "template", "slots", "instruction"])
+            for i, text in zip(b["doc_id"], b["text"]):
+                post = _post(text)
+                prev = first = None
+                for kind, template, slots, instruction, starts in post:
+                    t = _digest(template)
+                    first = t if first is None else first
+                    rows.append((i, kind, template if kind or whole else None, slots, instruction, t, prev, first, starts, len(post), len(re.findall(r"[^\W\d_]{2,}", re.sub("‹[a-z]+›", "", template)))))
+                    prev = 0 if kind in ("error", "notice") else t
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PIECES.split(", ")])
+            out["prev"] = pd.array([r[6] for r in rows], dtype="Int64")
+            yield out
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return docs.mapInPandas(run, "doc_id long, kind string, template string, slots array<string>, instruction boolean")
+    return docs.mapInPandas(run, _PIECES)
 
 
 def templates(u: DataFrame) -> DataFrame:
@@ -178,19 +222,135 @@ def templates(u: DataFrame) -> DataFrame:
     )
 
 
+def page_lines(p: DataFrame) -> DataFrame:
+    """``t``: templates that are learned as text of error pages.
+
+    At least half of a template's records must stand behind page text, alone,
+    or in a post of which all the rest is page text, and these must lie in
+    different surroundings: a post that was written twice proves nothing.
+    """
+    spark, base = p.sparkSession, p.filter("kind IS NULL").select("doc_id", "t", "prev", "first", "size")
+    total = durable(base.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1"))
+    base = base.join(total, "t")
+    learned, n = spark.createDataFrame([], "t long"), 0
+    while True:
+        before = spark.createDataFrame([(0,)], "prev long").union(learned).withColumn("beside", F.lit(True))
+        rest = base.join(learned, "t", "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("t").alias("around"))
+        x = base.join(before, "prev", "left").join(rest, "doc_id", "left").join(learned.withColumn("known", F.lit(True)), "t", "left")
+        x = x.withColumn("place", F.when(F.col("beside"), F.col("first")).when(F.col("known").isNull() & (F.col("size") - F.col("k") == 1), F.col("around")))
+        g = x.groupBy("t").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count(F.when(F.col("place").isNotNull() | (F.col("size") == 1), 1)).alias("k"), F.max("n").alias("n"))
+        learned = durable(g.filter("a < b AND 2 * k >= n").select("t").union(learned).distinct())
+        now = learned.count()
+        if now == n:  # nothing is ever taken back, so this ends
+            return learned
+        n = now
+
+
+_TOKEN = re.compile(r"‹[a-z]+›|\w+(?:[-'’.]\w+)*|[^\w\s]")
+_BLANK = re.compile(r"(?<=\w)[ ]+(?=[,;:.!?](?:\s|$))|(?<=\w)[ ]{2,}(?=\w)|(?<=\()\s*(?=\))|(?<=\[)\s*(?=\])")
+_BRACKETS = re.compile(r"\[(?:your|insert|ihr|dein|hier)\b[^\]\n]{0,60}\]", re.I)
+_VARIABLE = re.compile(r"^(?:[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+)$")
+_ODD = (1 << 64) - 59
+
+
+def _frames(unit: str) -> list[tuple[int, str, str]]:
+    """``frame, filling, what``: the frames in which a unit stands with one place open.
+
+    ``what`` is 'blank', 'default', 'name' (of the form of a variable's name)
+    or 'word'. Frames without two words beside the open place tell too little,
+    except those of a greeting, which end with a sign behind it.
+    """
+    bare = SLOT.sub("‹slot›", unit)
+    marks = [(m.start(), m.end(), "default", m.group(0)) for m in _BRACKETS.finditer(bare)]
+    marks += [(m.start(), m.end(), "blank", "") for m in _BLANK.finditer(bare)]
+    tokens = [(m.start(), m.end(), m.group(0)) for m in _TOKEN.finditer(bare)]
+    mask = ["‹n›" if any(c.isdigit() for c in t) else t for _, _, t in tokens]
+    fore, back, h = [0], [0], xxhash.xxh64()
+    for t in mask:
+        h.update(t + " ")
+        fore.append(h.intdigest())
+    h = xxhash.xxh64()
+    for t in reversed(mask):
+        h.update(t + " ")
+        back.append(h.intdigest())
+    n, words = len(mask), [t[0].isalpha() for t in mask]
+    n_words = sum(words)
+
+    def frame(a: int, b: int) -> int | None:
+        left = n_words - sum(words[a:b])
+        if left < 2 and not (left == 1 and b < n and not words[b]):
+            return None
+        return (fore[a] * 31 + back[n - b] * _ODD) % (1 << 64) - (1 << 63)
+
+    out = []
+    for k, t in enumerate(mask):
+        if words[k]:
+            out.append((frame(k, k + 1), t, "name" if _VARIABLE.match(t) else "word"))
+    for start, end, what, filling in marks:
+        a = sum(e <= start for _, e, _ in tokens)
+        out.append((frame(a, a + sum(s >= start and e <= end for s, e, _ in tokens)), filling, what))
+    return [x for x in out if x[0] is not None]
+
+
+_FRAMES = "doc_id long, frame long, what string, filling long, name string, template string"
+
+
+def _open(documents: DataFrame, doc_id: str, text: str, ordinary: bool) -> DataFrame:
+    """Frames of all units outside quoted phrases: of those that may be unfilled, or of the ordinary ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, text in zip(b["doc_id"], b["text"]):
+                for line in prose_lines(text):
+                    for unit in _SENTENCE.split(_QUOTED.sub(' "" ', line) if any(c in line for c in '"„“«') else line):
+                        if not ordinary and not (_BLANK.search(unit) or _BRACKETS.search(unit) or any(_VARIABLE.match(t) for t in _TOKEN.findall(unit))):
+                            continue
+                        for f, filling, what in _frames(unit):
+                            if ordinary == (what == "word"):
+                                rows.append((i, f, what, _digest(filling), filling if what == "name" else None, None if ordinary else _mask(unit)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FRAMES.split(", ")])
+
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    return docs.mapInPandas(run, _FRAMES)
+
+
+def unfilled(documents: DataFrame, u: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, kind, template``: units whose slot, induced by alignment, was not filled.
+
+    A frame has a slot if units of at least three other posts stand in it with
+    at least two different words there, and more than its unfilled ones. A name
+    counts if it is that of a marked slot somewhere in the corpus.
+    """
+    names = u.filter("kind = 'variable' AND NOT instruction").select(F.explode("slots").alias("s")).select(F.regexp_extract("s", r"[A-Za-z][\w.\-]*\w", 0).alias("name")).filter(F.col("name").rlike("[_A-Z]")).distinct()
+    maybe = _open(documents, doc_id, text, False)
+    c = durable(maybe.join(names.withColumn("known", F.lit(True)), "name", "left").filter("what != 'name' OR known").select("doc_id", "frame", "what", "template"))
+    fill = _open(documents, doc_id, text, True).select("doc_id", "frame", "filling").join(c.select("frame").distinct(), "frame", "left_semi")
+    slots = fill.groupBy("frame").agg(F.countDistinct("doc_id").alias("n"), F.min("filling").alias("a"), F.max("filling").alias("b")).filter("n >= 3 AND a < b")
+    empty = c.groupBy("frame").agg(F.countDistinct("doc_id").alias("e"))
+    good = slots.join(empty, "frame").filter("n > e").select("frame")
+    return c.join(good, "frame", "left_semi").select("doc_id", F.when(F.col("what") == "name", "variable").otherwise(F.col("what")).alias("kind"), "template").distinct()
+
+
 def flagged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, kind, template``: units that stand in place of content.
 
-    A slot with a variable's name counts unless its template is an
-    instruction whose filling is the same in all its records. Null and empty
-    texts have no units; equal rows give one result.
+    Kinds: 'variable', 'default', 'blank', 'error', 'notice', and 'page' for
+    learned lines of error pages. A slot with a variable's name counts unless
+    its template is an instruction whose filling is the same in all its records.
+    Null and empty texts have no units; equal rows give one result.
     """
-    u = durable(units(documents, doc_id, text))  # few rows; the texts are read once
+    p = durable(pieces(documents, doc_id, text))
+    u = p.filter("kind IS NOT NULL").select("doc_id", "kind", "template", "slots", "instruction")
     safe = u.filter("NOT (kind = 'variable' AND instruction)").select("doc_id", "kind", "template")
     unsure = u.filter("kind = 'variable' AND instruction")
     varying = templates(unsure).filter("fillings_vary").select("template")
     more = unsure.join(varying, "template", "left_semi").select("doc_id", "kind", "template")
-    return safe.union(more).distinct().withColumnRenamed("doc_id", doc_id)
+    # a short line such as a reference number tells too little by itself
+    hit = durable(p.filter("kind IS NULL AND starts AND n_words >= 4").join(page_lines(p), "t", "left_semi").select("doc_id", "t").distinct())
+    again = documents.join(hit.select(F.col("doc_id").alias("__id")).distinct(), F.col(doc_id).cast("long") == F.col("__id"), "left_semi")
+    page = pieces(again, doc_id, text, True).filter("kind IS NULL").join(hit, ["doc_id", "t"], "left_semi").select("doc_id", F.lit("page").alias("kind"), "template")
+    return safe.union(more).union(page).union(unfilled(documents, u, doc_id, text)).distinct().withColumnRenamed("doc_id", doc_id)
 
 
 def found(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

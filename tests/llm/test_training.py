@@ -307,6 +307,25 @@ def test_instruction_templates_need_one_filling(spark):
     assert {(x["n_units"], x["fillings_vary"]) for x in u.collect()} == {(5, True), (1, False)}
 
 
+def test_page_lines_are_learned(spark):
+    moved = "The drawer you asked for was emptied."
+    rows = [
+        (1, f"404 Not Found\n{moved}\nReference 17"), (2, f"I have a drawer.\n\nBad Gateway\n{moved}\n[881]"), (3, moved), (4, "Unauthorized\n[77]"), (5, "Oops! Bad Gateway\nReference 812"), (6, "A short text.\n\nForbidden\nReference 9"),
+        (7, "Come back another day, please.\nReference 11"), (8, "Come back another day, please.\n[5]"), (9, "Same problem here."), (10, "Same problem here."), (11, "The cause was named in [3]."), (12, "The same words follow a message.\n\nNot Found\nMy own question stays here."), (13, "The same words follow a message.\n\nNot Found\nMy own question stays here."), (14, "My own question stays here."), (15, "See below.\n[12]"),
+    ]
+    got = residue.flagged(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == {1, 2, 3, 4, 5, 6, 7, 8, 12, 13}
+    assert {x["doc_id"] for x in got if x["kind"] == "page"} == {1, 2, 3, 7, 8}
+
+
+def test_slots_are_induced_by_alignment(spark):
+    frame = "Dear {}, your order of {} lamps was sent to {} today."
+    rows = [(i, frame.format(w.title(), i, "Bergen")) for i, w in enumerate(WORDS[:6])]
+    rows += [(20, frame.format("", 7, "Bergen")), (21, frame.format("[your name]", 7, "Bergen")), (22, frame.format("first_name", 7, "Bergen")), (23, "Hello {{first_name}}, welcome."), (24, "I set row_limit to 7 today."), (25, "I set it to 8 , but it fails."), (26, 'It shows "Dear , your order of 3 lamps was sent to Bergen today."'), (27, frame.format("row_limit", 7, "Bergen"))]
+    got = {(x["doc_id"], x["kind"]) for x in residue.flagged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(20, "blank"), (21, "default"), (22, "variable"), (23, "variable")}
+
+
 def test_very_long_text(spark):
     t = ("The text goes on and on, and so it does. " * 60000) + "\n{{name}}"
     df = spark.createDataFrame([(1, t)], "doc_id long, text string")
