@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirespark.llm.common import durable
 from quirespark.llm.lookalikes import _TO_LATIN, plain
@@ -321,3 +322,185 @@ def found(extractions: DataFrame, ocr_results: DataFrame, scan_pages: DataFrame)
     a = furn.select(F.col("field").alias("field_name"), F.col("rid").alias("record_id"), F.col("line").cast("int").alias("line_no"), F.lit("furniture").alias("kind"))
     b = split_words(s, furn).select("field", "rid", F.col("line").cast("int"), F.lit("split_word"))
     return a.union(b).distinct()
+
+
+# --- repair ----------------------------------------------------------------------
+_SURE = 10  # so many times oftener than a misread form must a word stand in the corpus to replace it
+_ENDS = re.compile(r"[.!?:…][\"'“”»«’)\]]*$")
+_ANY_WORD = re.compile(r"[^\W_](?:[^\W_]|\|(?=[^\W\d_]))*")
+_MIXED = re.compile(r"\w+")
+
+
+def _readable(line: str) -> str:
+    """A line in visible characters; foreign look-alikes only become Latin in words that hold Latin letters."""
+    line = line.translate(_CLEAN)
+    if line.isascii() or not any(c > "\u02ff" for c in line):
+        return line
+    return _MIXED.sub(lambda m: m[0].translate(_TO_LATIN) if any("a" <= c.lower() <= "ž" for c in m[0]) else m[0], plain(line))
+
+
+def _glue(text: str, more: str, split: bool) -> str:
+    """Two parts of a paragraph; the hyphen of a split word goes, one of the text stays and only before a conjunction is followed by a blank."""
+    if split:
+        return text[:-1] + more
+    m = _FIRST.match(more)
+    if text[-1:] in HYPHENS and text[-2:-1].isalnum() and not (m and fold(m[1]) in _CONJUNCTIONS):
+        return text + more
+    return f"{text} {more}"
+
+
+def paragraphs_of(text: str, gone: set[int], split: set[int]) -> tuple[list[str], bool]:
+    """The paragraphs of one record and whether its last line ends with a split word; a heading stands alone."""
+    out: list[str] = []
+    last, new = False, True
+    for n, line in enumerate(text.split("\n"), 1):
+        line = _readable(line).strip()
+        if n in gone:
+            continue
+        if not line:
+            new = True
+        elif line.startswith("#"):
+            out.append(line)
+            last, new = False, True
+        else:
+            if new and not last:
+                out.append(line)
+            else:
+                out[-1] = _glue(out[-1], line, last)
+            last, new = n in split, False
+    return out, last
+
+
+_PARAGRAPHS = "field string, rid long, book string, lo int, paragraphs array<string>, last_split boolean"
+
+
+def paragraphs(texts: DataFrame, furn: DataFrame, splits: DataFrame) -> DataFrame:
+    """``field, rid, no, text``: paragraphs without furniture, named by the record and number where they begin.
+
+    A paragraph goes on in the next record of its book that has text if it ends
+    without the end of a sentence, or with a split word, or if that record begins
+    with a small letter. Only keys and flags are ordered by book; texts are
+    grouped by paragraph, and only those that lie in several records.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for f, r, bk, lo, t, gone, split in zip(b["field"], b["rid"], b["book"], b["lo"], b["text"], b["gone"], b["split"]):
+                got, last = paragraphs_of(t, {*gone} if gone is not None else set(), {*split} if split is not None else set())
+                if got:
+                    rows.append((f, r, bk, None if pd.isna(lo) else int(lo), got, last))
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PARAGRAPHS.split(", ")])
+            out["lo"] = out["lo"].astype("Int32")
+            yield out
+
+    marks = furn.select("field", "rid", F.col("line").alias("g"), F.lit(None).cast("int").alias("c")).union(splits.select("field", "rid", F.lit(None).cast("int"), F.col("line")))
+    marks = marks.groupBy("field", "rid").agg(F.collect_set("g").alias("gone"), F.collect_set("c").alias("split"))
+    records = durable(texts.dropDuplicates(["field", "rid"]).join(marks, ["field", "rid"], "left").mapInPandas(run, _PARAGRAPHS))
+
+    first, last = F.col("paragraphs")[0], F.element_at("paragraphs", -1)
+    ends = F.when(last.startswith("#"), "heading").when(F.col("last_split"), "split").when(last.rlike(_ENDS.pattern), "closed").otherwise("open")
+    begins = F.when(first.startswith("#"), "heading").when(first.rlike(r"^\p{Ll}"), "small").otherwise("other")
+    keys = records.select("field", "rid", "book", "lo", F.size("paragraphs").alias("n"), begins.alias("begins"), ends.alias("ends"))
+    w = Window.partitionBy("field", "book").orderBy("lo", "rid")
+    runs = keys.filter("book IS NOT NULL AND lo IS NOT NULL").withColumns({"prior": F.lag("ends").over(w), "next_begins": F.lead("begins").over(w)})
+    runs = runs.withColumn("goes_on", F.expr("coalesce(ends != 'heading' AND next_begins != 'heading' AND (ends != 'closed' OR next_begins = 'small'), false)"))
+    runs = runs.withColumn("came", F.coalesce(F.lag("goes_on").over(w), F.lit(False)))
+    # the record in which the paragraph that stands last here began
+    runs = runs.withColumn("own", F.when(~F.col("came") | (F.col("n") > 1), F.struct("rid", "n")))
+    runs = runs.withColumn("owner", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).select("field", "rid", "came", "goes_on", "owner")
+
+    each = records.join(runs, ["field", "rid"], "left").select("field", "rid", "lo", "last_split", "came", "goes_on", "owner", F.size("paragraphs").alias("n"), F.posexplode("paragraphs").alias("pos", "text"))
+    each = each.withColumn("no", F.col("pos") + 1).withColumn("from", F.expr("coalesce(came AND no = 1, false)")).withColumn("onto", F.expr("coalesce(goes_on AND no = n, false)"))
+    alone = each.filter("NOT `from` AND NOT onto").select("field", "rid", "no", "text")
+    parts = each.filter("`from` OR onto").select(
+        "field", F.when(F.col("from"), F.col("owner.rid")).otherwise(F.col("rid")).alias("to"), F.when(F.col("from"), F.col("owner.n")).otherwise(F.col("no")).alias("no"), F.struct("lo", "rid", "text", (F.col("onto") & F.col("last_split")).alias("split")).alias("part")
+    )
+    glue = F.udf(_join_parts, "string")
+    joined = parts.groupBy("field", "to", "no").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("field", F.col("to").alias("rid"), "no", glue(F.col("parts.text"), F.col("parts.split")).alias("text"))
+    return alone.union(joined)
+
+
+def _join_parts(texts, splits):
+    out, split = texts[0], splits[0]
+    for t, s in zip(texts[1:], splits[1:]):
+        out, split = _glue(out, t, split), s
+    return out
+
+
+def _form(word: str) -> str:
+    """Small letters, but a capital inside a word, which is a misreading, is kept."""
+    return word.lower() if word.isupper() or word[1:].islower() or word[1:] == word[1:].lower() else word
+
+
+def _tokens(text: str) -> list[str]:
+    return [w for w in _ANY_WORD.findall(text) if len(w) >= 2 and any(c.isalpha() for c in w)]
+
+
+def corrections(words: DataFrame) -> DataFrame:
+    """``form, right, titled``: misread words and the word of the corpus that they stand for.
+
+    ``words`` has ``form, n, n_titled``. Both words have the same folded key, and
+    the right one consists of letters and stands ``_SURE`` times as often.
+    """
+    key = F.udf(fold, "string")  # on the words of the vocabulary, once each
+    v = words.groupBy("form").agg(F.sum("n").alias("n"), F.sum("n_titled").alias("titled")).withColumn("key", key("form")).filter("length(key) >= 2")
+    best = v.filter(F.col("form").rlike(r"^[\p{Ll}]+$")).groupBy("key").agg(F.max(F.struct("n", "form", "titled")).alias("b")).filter("b.n >= 3")
+    return v.join(best, "key").filter(F.col("form") != F.col("b.form")).filter(F.col("b.n") >= _SURE * F.col("n")).select("form", F.col("b.form").alias("right"), (2 * F.col("b.titled") > F.col("b.n")).alias("titled"))
+
+
+def _correct(text: str, known: dict[str, tuple[str, bool]]) -> str:
+    def one(m: re.Match) -> str:
+        got = known.get(_form(m[0]))
+        if got is None:
+            return m[0]
+        right, titled = got
+        if m[0].isupper() and sum(c.isalpha() for c in m[0]) > 1:
+            return right.upper()
+        before = text[: m.start()].rstrip()
+        misread = not m[0][0].isalpha() or m[0][0] in "lI" and right[0] == "i"
+        return right.capitalize() if (titled or not before or _ENDS.search(before[-3:]) if misread else m[0][0].isupper()) else right
+
+    return _ANY_WORD.sub(one, text)
+
+
+def corrected(p: DataFrame) -> DataFrame:
+    """The paragraphs with misread words replaced by those of the corpus that they stand for."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n, titled = Counter(), Counter()
+            for t in b["text"]:
+                for w in _tokens(t):
+                    n[_form(w)] += 1
+                    titled[_form(w)] += w[0].isupper()
+            yield pd.DataFrame([(w, k, titled[w]) for w, k in n.items()], columns=["form", "n", "n_titled"])
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(f, r, n, w) for f, r, n, t in zip(b["field"], b["rid"], b["no"], b["text"]) for w in {*map(_form, _tokens(t))}], columns=["field", "rid", "no", "form"])
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["text"] = [t if k is None else _correct(t, {x["form"]: (x["right"], x["titled"]) for x in k}) for t, k in zip(b["text"], b["known"])]
+            yield b[["field", "rid", "no", "text"]]
+
+    right = durable(corrections(p.select("text").mapInPandas(count, "form string, n long, n_titled long")))
+    found = p.mapInPandas(forms, "field string, rid long, no int, form string").join(right, "form")
+    known = found.groupBy("field", "rid", "no").agg(F.collect_list(F.struct("form", "right", "titled")).alias("known"))
+    return p.join(known, ["field", "rid", "no"], "left").mapInPandas(apply, "field string, rid long, no int, text string")
+
+
+def repaired(extractions: DataFrame, ocr_results: DataFrame, scan_pages: DataFrame) -> DataFrame:
+    """``field_name, record_id, paragraph_no, text``: continuous paragraphs of the three fields.
+
+    A paragraph has the id and number of the record where it begins; a record
+    that only continues one, or has no text of its own, has no row for it.
+    Null and empty texts have no paragraphs; equal rows give one result.
+    """
+    texts = all_texts(extractions, ocr_results, scan_pages)
+    s = durable(scanned(texts))
+    furn = durable(furniture(s))
+    splits = split_words(s, furn).select("field", "rid", "line").distinct()
+    p = durable(paragraphs(texts, furn, splits))
+    return corrected(p).select(F.col("field").alias("field_name"), F.col("rid").alias("record_id"), F.col("no").alias("paragraph_no"), "text")
