@@ -80,7 +80,8 @@ _HINTS = tuple(
     "{ % # <_ [ @@ __ < lorem ipsum dolor script skript js browser few_seconds required_part error fehler invalid_date nan_votes traceback rate_limited has_expired not_be_shown was_blocked not_available permission_to back_end broke_on "
     "nicht_geladen gelöscht_oder abgelaufen goes_here sample_text blindtext beispieltext mustertext tbd todo placeholder provided) coming_soon steht_später folgt please_describe".replace("<_ ", "").split()
 ) + tuple(x.lower() for x in STATUS.split("|"))
-_HINTS = tuple(x.replace("_", " ") if x != "__" else x for x in _HINTS)
+_HINTS = tuple(x.replace("_", " ") if x != "__" else x for x in _HINTS) + tuple(sorted(LATIN))
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _suspicious(low: str) -> bool:
@@ -89,8 +90,8 @@ def _suspicious(low: str) -> bool:
 
 
 def _repeats(low: str) -> bool:
-    w = low.split(None, 2)[:2]
-    return len(w) == 2 and w[0].strip(",.;") == w[1].strip(",.;")
+    w = _LETTERS.findall(low)
+    return any(a == b for a, b in zip(w, w[1:]))
 
 
 def _code_looking(line: str) -> bool:
@@ -130,7 +131,7 @@ def prose_lines(text: str) -> list[str]:
 
 
 def _filler(unit: str) -> bool:
-    w = re.findall(r"[^\W\d_]+", unit.lower())
+    w = _LETTERS.findall(unit.lower())
     if len(w) >= 4 and len(LATIN & {*w}) >= 3 and sum(x in LATIN for x in w) >= 0.12 * len(w):
         return True
     return len(w) >= 8 and len({*w}) == 1

@@ -343,6 +343,14 @@ def test_instruction_templates_need_one_filling(spark):
     assert {(x["n_units"], x["fillings_vary"]) for x in u.collect()} == {(5, True), (1, False)}
 
 
+@pytest.mark.parametrize("unit", ["Consectetur adipiscing elit, sed eiusmod tempor incididunt", "Magna aliqua labore sit", "Thanks. asdf asdf asdf asdf asdf asdf asdf asdf", "Well, 1. foo, foo; foo foo foo foo foo foo"])
+def test_quick_test_lets_filler_pass(monkeypatch, unit):
+    quick = {(i, *map(str, x)) for i, t in enumerate([unit, *RESIDUE, *GOOD]) for x in residue._post(t)}
+    monkeypatch.setattr(residue, "_suspicious", lambda low: True)
+    assert quick == {(i, *map(str, x)) for i, t in enumerate([unit, *RESIDUE, *GOOD]) for x in residue._post(t)}
+    assert any(x[0] for x in residue._post(unit))
+
+
 def test_page_lines_are_learned(spark):
     moved = "The drawer you asked for was emptied."
     rows = [
