@@ -1,7 +1,7 @@
 """Problem 3: long exact spans shared between records.
 
 Method: line and paragraph hashing. A field is cut into units at natural
-starts (line starts and sentence starts; in stretches longer than ``GAP``
+starts (line starts and sentence starts; in stretches of ``GAP`` or more
 without one, at content-chosen positions). A unit is the text from such a
 start, long enough (``UNIT`` code points, running into the following lines)
 to be telling. Digests of units are grouped over the whole corpus; units held
@@ -124,7 +124,7 @@ def unit_starts(codes: np.ndarray) -> np.ndarray:
     """Offsets of line, sentence and (in long stretches) content-chosen starts."""
     hard = _hard_starts(codes)
     ends = np.append(hard[1:], len(codes))
-    soft = [p for a, b in zip(hard[ends - hard > GAP], ends[ends - hard > GAP]) for p in _chosen(codes, int(a), int(b))]
+    soft = [p for a, b in zip(hard[ends - hard >= GAP], ends[ends - hard >= GAP]) for p in _chosen(codes, int(a), int(b))]
     return np.unique(np.concatenate([hard, np.asarray(soft, np.int64)])) if soft else hard
 
 

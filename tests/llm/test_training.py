@@ -138,6 +138,17 @@ def test_shared_spans_against_brute_force(spark):
     assert shared_spans.found(df.limit(0), "extraction_id", ["a", "b"]).count() == 0
 
 
+def test_stretch_of_exactly_gap(spark):
+    rows = []
+    for k in range(8):
+        r = random.Random(k)
+        word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))  # noqa: B023, E731
+        span = " " + word(138) + ". " + word(99)
+        rows += [(2 * k, word(60) + "." + span + "x" + word(300)), (2 * k + 1, word(200) + span + "y" + word(60))]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert {x[0] for x in shared_spans.found(df, "id", ["t"]).collect()} == shared_brute(rows) == set(range(16))
+
+
 def test_hot_passage(spark):
     r = random.Random(6)
     hot = prose(r, 60)
