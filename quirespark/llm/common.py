@@ -17,8 +17,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder the session names.
 
     A machine-local folder is set only where the setting is absent and the
-    session runs in a single process, as in tests; on a cluster without the
-    setting the lineage is kept.
+    session runs in a single process, as in tests. A cluster needs the setting:
+    without it every later step would read and decode all texts again.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -26,12 +26,17 @@ def durable(df: DataFrame) -> DataFrame:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             if not sc.master.startswith("local[") and sc.master != "local":
-                return df
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="quirespark-checkpoint-")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows; looks at no more than one beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def blank(col: Column) -> Column:
     """True for null, empty and white-space-only text."""
     return col.isNull() | ~col.rlike(r"\S")

@@ -54,6 +54,10 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.repaired(table(spark, d, "extractions"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.classes(table(spark, d, "extractions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.found(table(spark, d, "extractions"), table(spark, d, "ocr_results"), table(spark, d, "scan_pages"))
 
@@ -91,7 +95,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p1_classes, p2_found, p2_pieces, p3_found, p3_spans, p3_coverage, p4_found, p4_repaired, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_flagged, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p1_classes, p2_found, p2_pieces, p3_found, p3_spans, p3_coverage, p4_found, p4_repaired, p4_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_flagged, p8_kept)}
 
 
 _COMMON = ", ".join(f"'{w}'" for w in sorted(quality.COMMON))

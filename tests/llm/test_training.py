@@ -162,11 +162,11 @@ def test_lookalikes(spark):
     base = "die Wege waren über den Fluß gelegt"
     rows = [
         (1, base), (2, base.replace(" ", " ", 1)), (3, base.replace("e", "е", 1)), (4, base.replace("ü", "ü")), (5, base.replace("Wege", "Ｗｅｇｅ")), (6, base.replace("Fl", "F​l")), (7, base.upper()),
-        (8, base.replace("ü", "u")), (9, "­" + base + " "), (10, None), (11, ""), (1, base), (12, "дворец λόγιον"), (13, "дворец λόγιον "), (14, "die Ѕо Wege"), (15, "die So Wege"), (16, "ﬁnden"), (17, "finden"), (18, "x\ny"), (19, "x y"), (20, "m²"), (21, "m2"),
+        (8, base.replace("ü", "u")), (9, "­" + base + " "), (10, None), (11, ""), (1, base), (12, "дворец λόγιον"), (13, "дворец λόγιον "), (14, "die Ѕо Wege"), (15, "die So Wege"), (16, "ﬁnden"), (17, "finden"), (18, "x\ny"), (19, "x y"), (20, "m²"), (21, "m2"), (22, "So ist es, so und so"), (23, "Teil Ⅳ 𝐀"), (24, "Teil IV A"),
     ]
     df = spark.createDataFrame([(i, t, None, "c") for i, t in rows], "extraction_id long, extracted_text string, ocr_text string, raw string")
     same = [1, 2, 3, 4, 5, 6, 9]
-    want = {(a, b) for a in same for b in same if a < b} | {(12, 13), (14, 15), (16, 17)}
+    want = {(a, b) for a in same for b in same if a < b} | {(12, 13), (14, 15), (16, 17), (23, 24)}
     assert {tuple(x) for x in lookalikes.found(df).collect()} == want
     out = {x["extraction_id"]: x["text"] for x in lookalikes.repaired(df).collect()}
     assert all(out[i] == base for i in same) and out[12] == "дворец λόγιον" and 10 not in out
@@ -174,9 +174,52 @@ def test_lookalikes(spark):
 
 
 def test_vocabulary_refuses(spark):
-    df = spark.createDataFrame([(1, "nur еinmal hier", None), (2, "nur einmal hier", None), (3, "аbсz", None)], "extraction_id long, extracted_text string, ocr_text string")
+    rows = [
+        (1, "nur еinmal hier"), (2, "nur einmal hier"), (3, "аbсz"),  # a word that stands nowhere else stays as it is
+        (4, "the сор of the day"), (5, "a сор is a word"),  # and vouches for no repair of itself, however often it stands
+        (6, "сахaр и вода в доме"), (7, "сахар и соль"), (8, "the сахaр was sweet"), (9, "пoлe"),  # the dominant script of a token decides
+        (10, "they say со in English"), (11, "co co co"), (12, "some со избы in English"),  # not beside a word of its own script
+    ]
+    df = spark.createDataFrame([(i, t, None) for i, t in [*rows, rows[0], rows[0]]], "extraction_id long, extracted_text string, ocr_text string")
     out = {x["extraction_id"]: x["text"] for x in lookalikes.repaired(df).collect()}
-    assert out[1] == out[2] and out[3] == "аbсz"  # a word that stands nowhere else stays as it is
+    assert out == dict(rows) | {1: rows[1][1], 6: "сахар и вода в доме", 8: "the сахар was sweet", 10: "they say co in English"}
+    assert lookalikes.repaired(df).count() == len(rows)
+
+
+def repaired_brute(texts):
+    """The final form of every text, one after the other."""
+    have = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", lookalikes.plain(t).lower()))
+    out = []
+    for t in texts:
+        t = lookalikes.plain(t)
+        for at, token, _, first, second, whole in lookalikes.repairs(t):
+            least = have[token.lower()] if whole else 0
+            new = next((x for x in (first, second) if x and have[x.lower()] > least), token)
+            t = t[:at] + new + t[at + len(token) :]
+        out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("rows", [lookalikes.BROADCAST_ROWS, 0])
+def test_lookalikes_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(lookalikes, "BROADCAST_ROWS", rows)
+    r = random.Random(4)
+    words = ["cope", "Rose", "сахар", "поле", "λόγος", "Axe", "hope", "so", "co", "дом", "zoo"]
+    swap = str.maketrans({v: k for k, v in zip(lookalikes.CYRILLIC, lookalikes.CYRILLIC_LATIN)})
+    texts = []
+    for _ in range(120):
+        t = [r.choice(words[:2] if r.random() < 0.3 else words) for _ in range(r.randint(1, 4))]
+        t = ["".join(c.translate(swap) if r.random() < 0.3 else c for c in w) if r.random() < 0.4 else w for w in t]
+        texts.append(r.choice([" ", "\u00a0"]).join(t) + r.choice(["", " ", "\u200b"]))
+    final = repaired_brute(texts)
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] * 2, "extraction_id long, extracted_text string, ocr_text string")
+    assert {x["extraction_id"]: x["text"] for x in lookalikes.repaired(df).collect()} == dict(enumerate(final))
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if texts[a] != texts[b] and final[a] == final[b]}
+    assert {(b, a) for a, b in map(tuple, lookalikes.found(df).collect())} == want and len(want) > 20
+    links = Counter(x for p in want for x in p)
+    got = {x["extraction_id"]: x for x in lookalikes.classes(df).collect()}
+    assert {i: x["n_links"] for i, x in got.items()} == links
+    assert all(x["class_id"] == min(k for k in range(len(texts)) if final[k] == final[i]) for i, x in got.items())
 
 
 @given(st.text(alphabet="aäe \n ​­ｅ", max_size=40))
