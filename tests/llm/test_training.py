@@ -380,6 +380,11 @@ GOOD = [
     "```\n<p>Hello {{ name }}</p>\n```\nWhy the braces?", "    echo ${x}\n\nfails", "<pre><code>%X_Y%</code></pre> fails", "> 404 Not Found\n\nis what I read", "Use `{{name}}` in it.", "Which placeholder should I show?", "Not found anything yet, 404 of 549 calls end well.", "", "+1", "Why do I get HTTP 502 (Bad Gateway) whenever it is large?",
 ]
 
+GENERIC = [
+    "Error 418: I'm a teapot", "503 Service Temporarily Unavailable", "This site requires JavaScript.", "Please turn JavaScript on and reload.", "Hello [Name], thank you for your order.", "Insert text here", "Access denied. You need a permission.",
+    "JavaScript is required to view this page", "Enable JavaScript to continue", "Diese Seite benötigt JavaScript.", "Fehler 500", "Your browser does not support JavaScript.", "Seite nicht gefunden",
+]
+
 
 def test_residue(spark):
     rows = [(i, t) for i, t in enumerate(RESIDUE)] + [(1000 + i, t) for i, t in enumerate(GOOD)] + [(5000, None), (0, RESIDUE[0])]
@@ -393,18 +398,24 @@ def test_residue(spark):
 def test_instruction_templates_need_one_filling(spark):
     rows = [(i, f"Replace <TOKEN_{'ABCDEFGH'[i]}> with the name of {WORDS[i]} now.") for i in range(5)] + [(9, "Replace <YOUR_TOKEN> with your own value.")]
     rows = [(i, t if i == 9 else f"Replace <TOKEN_{'ABCDEFGH'[i]}> with your own value in line 3.") for i, t in rows]
-    u = residue.templates(residue.units(spark.createDataFrame(rows, "doc_id long, text string")))
+    u = residue.templates(residue.units(residue.scan(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert {(x["n_units"], x["fillings_vary"]) for x in u.collect()} == {(5, True), (1, False)}
 
 
 @pytest.mark.parametrize("unit", ["Consectetur adipiscing elit, sed eiusmod tempor incididunt", "Magna aliqua labore sit", "Thanks. asdf asdf asdf asdf asdf asdf asdf asdf", "Well, 1. foo, foo; foo foo foo foo foo foo"])
-def test_quick_test_lets_filler_pass(monkeypatch, unit):
-    quick = {(i, *map(str, x)) for i, t in enumerate([unit, *RESIDUE, *GOOD]) for x in residue._post(t)}
-    monkeypatch.setattr(residue, "_suspicious", lambda low: True)
-    assert quick == {(i, *map(str, x)) for i, t in enumerate([unit, *RESIDUE, *GOOD]) for x in residue._post(t)}
+def test_quick_test_lets_all_kinds_pass(monkeypatch, unit):
+    texts = [unit, *RESIDUE, *GOOD, *GENERIC, *(f"{s} {x}" for s in residue.STATUS.split("|") for x in ("", "(404)", "Reference 7")), "SEHR GEEHRTER [Name], ja", "HTTP 500", "ENTER YOUR TEXT HERE"]
+    quick = [residue._post(t) for t in texts]
+    monkeypatch.setattr(residue, "_hints", lambda low: residue.ALL)
+    assert quick == [residue._post(t) for t in texts]
     assert any(x[0] for x in residue._post(unit))
 
 
+@pytest.mark.parametrize("text", GENERIC)
+def test_residue_of_other_wording(text):
+    assert residue._post(text)[0][0]
+
+
 def test_page_lines_are_learned(spark):
     moved = "The drawer you asked for was emptied."
     rows = [
