@@ -19,11 +19,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.with_statistics(table(spark, d, "enhancements")).drop("__text", "prose_share", "list_line_share", "punct_line_share")
+    return quality.with_statistics(table(spark, d, "enhancements"))
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return quality.classify(table(spark, d, "enhancements"), quality.learn(spark))
+    return quality.classify(table(spark, d, "enhancements"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,25 +101,32 @@ def queries() -> dict[str, Query]:
 _COMMON = ", ".join(f"'{w}'" for w in sorted(quality.COMMON))
 
 
+_quoted = lambda p: "'" + p.replace("'", "''").replace(r"\s", r"[ \t\n\x0b\f\r]").replace(r"\S", r"[^ \t\n\x0b\f\r]") + "'"
+_ENDED, _LISTED = _quoted(quality._ENDED), _quoted(quality._LIST_LINE)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_statistics": rf"""
             WITH t AS (
                 SELECT enhancement_id, enhanced_text AS x, regexp_extract_all(lower(enhanced_text), '\p{{L}}+') AS w,
+                       list_filter(string_split(enhanced_text, chr(10)), lambda y: regexp_matches(y, '[^ \t\n\x0b\f\r]')) AS l,
                        length(regexp_replace(enhanced_text, '[ \t\n\x0b\f\r]+', '', 'g')) AS visible,
                        length(regexp_replace(enhanced_text, '[^\p{{L}}]+', '', 'g')) AS letters,
                        length(regexp_replace(enhanced_text, '[^0-9]+', '', 'g')) AS digits
                 FROM enhancements),
-            c AS (SELECT *, len(list_filter(w, lambda y: y IN ({_COMMON}))) AS common FROM t)
+            c AS (SELECT *, len(list_filter(w, lambda y: y IN ({_COMMON}))) AS common, len(list_filter(l, lambda y: regexp_matches(y, {_ENDED}))) AS ended, len(list_filter(l, lambda y: regexp_matches(y, {_LISTED}))) AS listed FROM t)
             SELECT enhancement_id,
                    CAST(length(x) AS BIGINT) AS n_chars,
                    CAST(len(regexp_extract_all(x, '[^ \t\n\x0b\f\r]+')) AS BIGINT) AS n_tokens,
                    CAST(len(w) AS BIGINT) AS n_words,
-                   CAST(len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^ \t\n\x0b\f\r]'))) AS BIGINT) AS n_lines,
+                   CAST(len(l) AS BIGINT) AS n_lines,
                    CASE WHEN x IS NOT NULL THEN round(coalesce(letters / nullif(len(w), 0), 0), 6) END AS mean_word_length,
                    CASE WHEN x IS NOT NULL THEN round(coalesce((visible - letters - digits) / nullif(visible, 0), 0), 6) END AS symbol_ratio,
                    CASE WHEN x IS NOT NULL THEN round(coalesce(digits / nullif(visible, 0), 0), 6) END AS digit_ratio,
                    CASE WHEN x IS NOT NULL THEN round(coalesce(letters / nullif(visible, 0), 0), 6) END AS letter_ratio,
+                   CASE WHEN x IS NOT NULL THEN round(coalesce(ended / nullif(len(l), 0), 0), 6) END AS punct_line_share,
+                   CASE WHEN x IS NOT NULL THEN round(coalesce(listed / nullif(len(l), 0), 0), 6) END AS list_line_share,
                    CASE WHEN x IS NOT NULL THEN round(coalesce(common / nullif(len(w), 0), 0), 6) END AS common_share,
                    CASE WHEN x IS NOT NULL THEN round(coalesce(100 * common / nullif(length(x), 0), 0), 6) END AS common_per_100,
                    CASE WHEN x IS NOT NULL THEN round(coalesce(100 * len(w) / nullif(length(x), 0), 0), 6) END AS words_per_100,

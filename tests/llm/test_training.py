@@ -28,17 +28,12 @@ TEXTS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def rules(spark):
-    return quality.learn(spark)
-
-
-def test_quality_classes(spark, rules):
+def test_quality_classes(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in TEXTS + TEXTS[:2]], "enhancement_id long, enhanced_text string, text_class string")
-    got = {r["enhancement_id"]: r["text_class"] for r in quality.classify(df, rules).collect()}
+    got = {r["enhancement_id"]: r["text_class"] for r in quality.classify(df).collect()}
     assert {k for k, v in got.items() if v == "not_prose"} == {2, 3, 7}
     assert {k for k, v in got.items() if v is None} == {4, 5, 6}
-    assert quality.classify(df.limit(0), rules).count() == 0
+    assert quality.classify(df.limit(0)).count() == 0
 
 
 def test_statistics_against_python(spark):
@@ -51,14 +46,19 @@ def test_statistics_against_python(spark):
             continue
         w = re.findall(r"[^\W\d_]+", t.lower())
         assert got[i]["n_words"] == len(w) and got[i]["n_chars"] == len(t)
+        assert got[i]["punct_line_share"] == pytest.approx(np.mean([re.search(r"[.!?:;,»”\"'-]\s*$", x) is not None for x in t.split("\n") if x.strip()] or [0]), abs=1e-6)
         assert got[i]["common_share"] == pytest.approx(sum(x in quality.COMMON for x in w) / max(1, len(w)), abs=1e-6)
 
 
-def test_rules_hold_on_held_out_documents(spark, rules):
-    held = quality.labelled(400, seed=99)
+@pytest.mark.parametrize("held", [quality.labelled(400, seed=99), quality.mixtures(300, seed=98)])
+def test_rules_hold_on_held_out_documents(spark, held):
     df = spark.createDataFrame(held, "enhancement_id long, enhanced_text string, y boolean")
-    bad = {r[0] for r in quality.classify(df, rules).filter("text_class = 'not_prose'").select("enhancement_id").collect()}
-    assert np.mean([(i in bad) == y for i, _, y in held]) >= 0.95
+    bad = {r[0] for r in quality.found(df).collect()}
+    assert np.mean([(i in bad) == y for i, _, y in held]) >= 0.97
+
+
+def test_stored_rules_are_the_learned_ones(spark):
+    assert quality.learn(spark) == quality.RULES and quality.RULES.count("WHEN") > 1
 
 
 def test_induction_finds_a_threshold():
