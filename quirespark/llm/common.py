@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,23 +14,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder the session names.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names.
 
-    A machine-local folder is set only where the setting is absent and the
-    session runs in a single process, as in tests. A cluster needs the setting:
-    without it every later step would read and decode all texts again.
+    A machine-local one is made only where the setting is absent and the session
+    runs in a single process, as in tests. A cluster needs the setting: without
+    it every later step would read and decode all texts again.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="quirespark-checkpoint-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+        given = sc._jsc.sc().getCheckpointDir()
+    return given.get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the shared checkpoint folder.
+
+    A written table is smaller than a checkpoint of rows, is read column by
+    column, and its size is known to the planner, which broadcasts it only
+    below its own threshold.
+    """
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> bool:

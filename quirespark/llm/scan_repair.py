@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirespark.llm.common import durable
+from quirespark.llm.common import durable, small
 from quirespark.llm.lookalikes import _TO_LATIN, plain
 
 # --- fixed values --------------------------------------------------------------
@@ -52,8 +52,9 @@ _FIRST = re.compile(r"^\W*(\w+)")
 _BARE = re.compile(r"\s*\S+")
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
-_LOOK = 6  # following lines that are looked at inside a record
-_PAGES = 4  # following pages (of which some may be empty) that are looked at
+_SPAN = 256  # pages of one window; books of any length are spread over several
+_STEP = 3  # pages between two printed numbers of one section
+BROADCAST_ROWS = 200_000  # corrections that are sent to every task; more are joined
 
 
 def _plain_line(line: str) -> str:
@@ -76,8 +77,6 @@ _CONJUNCTIONS = frozenset(map(fold, CONJUNCTIONS))
 
 def _title_like(line: str) -> str | None:
     """The text of a line that could be a running header, without marks and numbers at its ends."""
-    if len(line) > 90:
-        return None
     t = _ENDS_NUMBER.sub("", line.strip("# "))
     if not t or t[-1] in ".,;:?!»-‐¬" or any(c in t for c in ".,;:?!"):
         return None
@@ -99,21 +98,25 @@ def _close(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def _fits(n: int, lo: int | None, hi: int | None) -> bool:
-    """A printed number fits its pages, one misread digit allowed."""
-    if lo is None:
+def _fits(n: int, lo: int, hi: int) -> bool:
+    """A printed number lies in a range, one misread digit allowed."""
+    if lo <= n <= hi:
         return True
-    if hi - lo > 200 or lo <= n <= hi:
-        return lo <= n <= hi
     s = str(n)
-    return any(len(p) == len(s) and sum(x != y for x, y in zip(p, s)) <= 1 for p in map(str, range(lo, hi + 1)))
+    return any(lo <= int(s[:k] + d + s[k + 1 :]) <= hi for k in range(len(s)) for d in "0123456789" if k or d != "0" or len(s) == 1)
 
 
 def _numbers(lines: list[str], lo: int | None, hi: int | None, edges: set[int] | None) -> set[int]:
-    """Line indexes that are page numbers. Years that end a sentence on a line of their own are text."""
-    seen: list[tuple[int, int, bool]] = []
+    """Line indexes that are page numbers.
+
+    Where the record's pages are known a number must be one of theirs. Else
+    several numbers must follow each other in steps of a few pages; a number
+    that stands in no such sequence counts only if it is marked as a page number,
+    stands beside a line that is furniture by its form, or is the only one. Years that end a sentence on a line of their own are text.
+    """
+    seen: list[tuple[int, int, bool, bool]] = []
     for i, line in enumerate(lines):
-        if len(line) > 14 or edges is not None and i not in edges:
+        if edges is not None and i not in edges:
             continue
         m = _NUMBER.match(line)
         if not m:
@@ -124,9 +127,20 @@ def _numbers(lines: list[str], lo: int | None, hi: int | None, edges: set[int] |
         before = next((x for x in reversed(lines[:i]) if x.strip()), "")
         last = re.findall(r"\w+", before)[-1:] or [""]
         year = not m[1] and len(m[2]) == 4 and 1400 <= n <= 2099
-        seen.append((i, n, year and (m[3] == "." or last[0].lower() in LAST_BEFORE_YEAR)))
-    values = {n for _, n, doubt in seen if not doubt}
-    return {i for i, n, doubt in seen if _fits(n, lo, hi) and (not doubt or lo is None and ({n - 1, n + 1} & values) or lo is not None and lo == hi == n)}
+        seen.append((i, n, year and (m[3] == "." or last[0].lower() in LAST_BEFORE_YEAR), bool(m[1])))
+    if lo is not None:
+        return {i for i, n, doubt, _ in seen if _fits(n, lo, hi) and (not doubt or lo == hi == n)}
+    values = {n for _, n, doubt, _ in seen if not doubt}
+    seen = [x for x in seen if not x[2] or {x[1] - 1, x[1] + 1} & values]
+    before = [None, *(n for _, n, _, _ in seen)]
+    after = [*(n for _, n, _, _ in seen[1:]), None]
+    follows = lambda n, a, z: a is not None and _fits(n, a, a + _STEP) or z is not None and _fits(n, z - _STEP, z)
+
+    def at_edge(i: int) -> bool:
+        near = [next((x for x in part if x.strip()), "") for part in (reversed(lines[:i]), lines[i + 1 :])]
+        return any(_STAMP.search(x) or _SPACED.match(x) or x.isupper() and len(x.split()) >= 2 for x in near)
+
+    return {i for (i, n, _, marked), a, z in zip(seen, before, after) if marked or len(seen) == 1 or follows(n, a, z) or at_edge(i)}
 
 
 def _broken_early(lines: list[str], full: list[int], sure: dict[int, str], maybe: dict[int, str]) -> None:
@@ -155,12 +169,20 @@ def _broken_early(lines: list[str], full: list[int], sure: dict[int, str], maybe
             del maybe[i]
 
 
+def _edge(lines: list[str], full: list[int]) -> list[int]:
+    """The lines at one end of a page where furniture can stand: three, or more while all of them may be furniture."""
+    k = 0
+    while k < len(full) and (_NUMBER.match(lines[full[k]]) or _STAMP.search(lines[full[k]]) or _title_like(lines[full[k]])):
+        k += 1
+    return full[: max(3, k)]
+
+
 def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int | None) -> list[tuple]:
     """Interesting lines of one record: ``(what, line, key, stem, to_end, next)``; lines count from 1."""
     lines = [_plain_line(x) for x in text.split("\n")]
     full = [i for i, x in enumerate(lines) if x.strip()]
     page = field == "text_with_headers"
-    edges = {*full[:3], *full[-3:]} if page else None
+    edges = {*_edge(lines, full), *_edge(lines, full[::-1])} if page else None
     names = [fold(x) for x in (book or "").split("#")[:2]]
     names = [n for n in names if len(n) >= 4]
     sure: dict[int, str] = {}
@@ -203,7 +225,7 @@ def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int
     def following(k: int) -> tuple[list[tuple[int, str]], bool]:
         """Candidates for the next line of the text from position k of the non-empty lines on, and whether they run to the end."""
         got: list[tuple[int, str]] = []
-        for i in full[k : k + _LOOK]:
+        for i in full[k:]:  # ends at the first line that is surely text
             if i in sure:
                 continue
             m = _FIRST.match(lines[i])
@@ -213,7 +235,7 @@ def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int
             got.append((i + 1, m[1] if m and fold(m[1]) not in _CONJUNCTIONS else ""))
             if i not in maybe:
                 return got, False
-        return got, k + _LOOK >= len(full)
+        return got, True
 
     for k, i in enumerate(full):
         if i in sure or i in maybe and not page:
@@ -224,8 +246,8 @@ def scan_lines(field: str, text: str, book: str | None, lo: int | None, hi: int
                 nxt, to_end = following(k + 1)
                 out.append(("cut", i + 1, lines[i].rstrip()[-1], m[1], to_end, nxt))
     if field != "ocr_text" and full:
-        nxt, _ = following(0)
-        out.append(("top", 0, "", "", False, nxt))
+        nxt, to_end = following(0)
+        out.append(("top", 0, "", "", to_end, nxt))
     return out
 
 
@@ -243,7 +265,7 @@ def scanned(texts: DataFrame) -> DataFrame:
                 words.update(_WORDS.findall(t.lower()))
                 for what, line, key, stem, to_end, nxt in scan_lines(f, t, bk, low, high):
                     rows.append((what, f, r, bk, low, high, line, key, stem, to_end, nxt))
-            rows.extend(("word", None, n, None, None, None, 0, w, None, False, []) for w, n in words.items() if len(w) > 3)
+            rows.extend(("word", None, n, None, None, None, 0, w, None, False, []) for w, n in words.items())
             out = pd.DataFrame(rows, columns=["what", "field", "rid", "book", "lo", "hi", "line", "key", "stem", "to_end", "next"])
             out["lo"], out["hi"] = out["lo"].astype("Int32"), out["hi"].astype("Int32")
             yield out
@@ -273,18 +295,41 @@ def furniture(s: DataFrame) -> DataFrame:
     runs = durable(running_lines(s))
     cand = s.filter("what IN ('edge', 'head') AND book IS NOT NULL").select("what", "field", "rid", "line", "book", "key")
     exact = cand.join(runs, ["book", "key"], "left_semi").select("field", "rid", "line")
-    # misread worse: one of the two ends of the key is intact
+    # misread worse: one of the two ends of the key is intact; every different key is compared once
     rest = cand.filter("what = 'edge'").join(runs, ["book", "key"], "left_anti")
     ends = lambda c: F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, 6)), F.concat(F.lit(">"), F.substring(c, -6, 6))))
     near = (
-        rest.withColumn("end", ends("key"))
+        rest.select("book", "key").distinct()
+        .withColumn("end", ends("key"))
         .join(runs.select("book", F.col("key").alias("known")).withColumn("end", ends("known")), ["book", "end"])
         .filter(F.levenshtein("key", "known") <= F.greatest(F.lit(1), F.floor(F.char_length("known") / 6)))
-        .select("field", "rid", "line")
-    )
+        .select("book", "key").distinct()
+    )
+    near = rest.join(durable(near), ["book", "key"], "left_semi").select("field", "rid", "line")
     return sure.union(exact).union(near).distinct()
 
 
+def _beyond(cuts: DataFrame, tops: DataFrame) -> DataFrame:
+    """``field, rid, line, key, stem, word``: for cuts at a record's end, the first word of the next record of the book that has text.
+
+    ``cuts`` has ``field, book, at`` (its last page) besides, ``tops`` has ``field,
+    book, at`` (its first page) and ``word``. Windows run over ``_SPAN`` pages of a book;
+    what follows the last record of a window comes from the windows' own first words.
+    """
+    none = F.lit(None).cast("string")
+    c = cuts.select("field", "book", "at", F.lit(0).alias("top"), "rid", "line", "key", "stem", none.alias("word")).distinct()
+    t = tops.groupBy("field", "book", "at").agg(F.min_by("word", "rid").alias("word")).select("field", "book", "at", F.lit(1).alias("top"), F.lit(0).cast("long").alias("rid"), F.lit(0).alias("line"), none.alias("key"), none.alias("stem"), "word")
+    x = t.union(c).withColumn("span", F.floor(F.col("at") / _SPAN))
+    # a cut comes behind the top of its own page
+    w = Window.partitionBy("field", "book", "span").orderBy("at", F.desc("top")).rowsBetween(1, Window.unboundedFollowing)
+    x = x.withColumn("next", F.first("word", ignorenulls=True).over(w)).filter("top = 0")
+    heads = t.withColumn("span", F.floor(F.col("at") / _SPAN)).groupBy("field", "book", "span").agg(F.min_by("word", "at").alias("head"))
+    later = Window.partitionBy("field", "book").orderBy(F.desc("span"))
+    need = x.filter("next IS NULL").select("field", "book", "span").distinct()
+    heads = need.withColumn("head", none).union(heads).withColumn("after", F.last("head", ignorenulls=True).over(later.rangeBetween(Window.unboundedPreceding, -1))).filter("head IS NULL").drop("head").distinct()
+    return x.join(heads, ["field", "book", "span"], "left").select("field", "rid", "line", "key", "stem", F.coalesce("next", "after").alias("word")).filter("word IS NOT NULL")
+
+
 def split_words(s: DataFrame, furn: DataFrame) -> DataFrame:
     """``field, rid, line, joined``: lines whose last word was cut there, and the whole word."""
     cuts = s.filter("what = 'cut'").select("field", "rid", "book", "hi", "line", "key", "stem", "to_end", "next")
@@ -294,12 +339,15 @@ def split_words(s: DataFrame, furn: DataFrame) -> DataFrame:
 
     hard = cuts.filter(~plain)
     inside = hard.select("field", "rid", "line", "key", "stem", F.posexplode("next").alias("pos", "n")).select("field", "rid", "line", "key", "stem", "pos", F.col("rid").alias("to_rid"), F.col("n.line").alias("to_line"), F.col("n.word").alias("word"))
-    tops = s.filter("what = 'top'").select("field", "book", F.col("lo").alias("page"), F.col("rid").alias("to_rid"), "next")
-    onto = hard.filter("to_end AND hi IS NOT NULL").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(_PAGES)))).withColumn("page", F.col("hi") + F.col("k"))
-    beyond = onto.drop("next").join(tops, ["field", "book", "page"]).select("field", "rid", "line", "key", "stem", (F.col("k") * 100).alias("k"), "to_rid", F.posexplode("next").alias("pos", "n"))
-    beyond = beyond.select("field", "rid", "line", "key", "stem", (F.col("k") + F.col("pos")).alias("pos"), "to_rid", F.col("n.line").alias("to_line"), F.col("n.word").alias("word"))
-    steps = inside.union(beyond).join(furn.select("field", F.col("rid").alias("to_rid"), F.col("line").alias("to_line")), ["field", "to_rid", "to_line"], "left_anti")
-    late = steps.groupBy("field", "rid", "line", "key", "stem").agg(F.min_by("word", "pos").alias("word"))
+    gone = furn.select("field", F.col("rid").alias("to_rid"), F.col("line").alias("to_line"))
+    stays = inside.join(gone, ["field", "to_rid", "to_line"], "left_anti").groupBy("field", "rid", "line", "key", "stem").agg(F.min_by("word", "pos").alias("word"))
+    open_ = hard.filter("to_end AND hi IS NOT NULL AND book IS NOT NULL").select("field", "book", F.col("hi").alias("at"), "rid", "line", "key", "stem").join(stays.select("field", "rid", "line"), ["field", "rid", "line"], "left_anti")
+    tops = s.filter("what = 'top' AND book IS NOT NULL AND lo IS NOT NULL").select("field", "book", F.col("lo").alias("at"), "rid", "to_end", F.posexplode_outer("next").alias("pos", "n"))
+    tops = tops.select("field", "book", "at", "rid", "to_end", "pos", F.col("n.line").alias("line"), F.col("n.word").alias("word")).join(furn.withColumn("gone", F.lit(True)), ["field", "rid", "line"], "left")
+    # a record that is furniture to its end is passed over; one whose text begins with a heading ends the search
+    tops = tops.groupBy("field", "book", "at", "rid").agg(F.min_by("word", F.when(F.col("gone").isNull() & F.col("line").isNotNull(), F.col("pos"))).alias("word"), F.first("to_end").alias("to_end"))
+    tops = tops.select("field", "book", "at", "rid", F.coalesce("word", F.when(~F.col("to_end"), "")).alias("word")).filter("word IS NOT NULL")
+    late = stays.union(_beyond(open_, tops))
 
     pairs = easy.union(late).filter("word != ''")
     starts_low = F.col("word").rlike(r"^[\p{Ll}0-9]") | (F.col("word").rlike(r"^[BI]\p{Ll}"))
@@ -486,6 +534,15 @@ def corrected(p: DataFrame) -> DataFrame:
             yield b[["field", "rid", "no", "text"]]
 
     right = durable(corrections(p.select("text").mapInPandas(count, "form string, n long, n_titled long")))
+    if small(right, BROADCAST_ROWS):
+        shared = p.sparkSession.sparkContext.broadcast({r["form"]: (r["right"], r["titled"]) for r in right.collect()})
+
+        def apply_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b["text"] = [_correct(t, shared.value) for t in b["text"]]
+                yield b
+
+        return p.select("field", "rid", "no", "text").mapInPandas(apply_all, "field string, rid long, no int, text string")
     found = p.mapInPandas(forms, "field string, rid long, no int, form string").join(right, "form")
     known = found.groupBy("field", "rid", "no").agg(F.collect_list(F.struct("form", "right", "titled")).alias("known"))
     return p.join(known, ["field", "rid", "no"], "left").mapInPandas(apply, "field string, rid long, no int, text string")

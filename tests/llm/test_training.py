@@ -277,6 +277,36 @@ def test_scan_repair_joins_paragraphs(spark):
     assert scan_repair.repaired(ext.limit(0), ocr, scan.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "lines, want",
+    [
+        (["im Jahre der Tafeln, also", "1750", "waren es nur noch", "12", "von allen."], set()),  # numbers of the text
+        (["eine Zeile", "7", "noch eine", "8", "und eine", "l0", "Ende, dann", "1750"], {1, 3, 5}),  # a sequence, one number misread, a page without
+        (["eine Zeile", "220", "eine mehr", "- 12 -", "DIE ALTEN WEGE", "64"], {3, 5}),  # marked, and beside a running line
+        (["eine Zeile", " " * 30 + "23", "noch eine"], {1}),
+        (["Text im Jahre", "1852.", "und so weiter"], set()),
+    ],
+)
+def test_page_numbers_are_a_sequence(lines, want):
+    assert scan_repair._numbers(lines, None, None, None) == want
+
+
+def test_numbers_of_known_pages():
+    assert scan_repair._numbers(["a", "12", "b", "l3", "c", "73", "d", "400"], 12, 13, None) == {1, 3, 5}
+    assert scan_repair._numbers(["a", "1234", "b", "7"], 1, 2000, None) == {1, 3} and scan_repair._fits(5, 0, 9) and not scan_repair._fits(55, 1, 9)
+
+
+def test_words_go_on_beyond_many_pages(spark):
+    """Empty pages, pages of furniture only, and windows' ends between the two parts of a word."""
+    book = "Anna Berg#Die alten Wege#1"
+    head = "\n".join(["Die alten Wege"] * 9)
+    pages = [(1, 1, f"Ein Weg, und die Geschich-\n{head}"), *((p, p, r) for p, r in zip(range(2, 20), [None, "", f"{head}\nAnna Berg"] * 6)), (700, 700, f"{head}\nte von ihm, und sonst Zu-"), (1300, 1300, "# II NEUE WEGE\n\nfall und mehr, auch Geschichte."), (1301, 1301, "Zufall.")]
+    scan = spark.createDataFrame([(i, book, p, t) for i, p, t in [*pages, pages[0]]], "page_id long, book_key string, page_no int, text_with_headers string")
+    none = spark.createDataFrame([], "scan_id long, book_key string, page_from int, page_to int, structured_text string"), spark.createDataFrame([], "extraction_id long, book_key string, ocr_text string")
+    got = {(i, n) for _, i, n, k in map(tuple, scan_repair.found(none[1], none[0], scan).collect()) if k == "split_word"}
+    assert got == {(1, 1)}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
 def test_scan_repair_against_proofread_pages(spark):
     read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
