@@ -325,7 +325,9 @@ def test_fold(a, b):
 
 
 # --- problem 6 ----------------------------------------------------------------------------------
-def test_leakage_against_brute_force(spark):
+@pytest.mark.parametrize("rows", [leakage.BROADCAST_ROWS, 0])
+def test_leakage_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", rows)
     r = random.Random(7)
     items = [(i, " ".join(r.choice(WORDS) for _ in range(r.choice([12, 13, 14, 60])))) for i in range(30)] + [(90, None), (91, "")]
     items.append((92, items[3][1]))
