@@ -146,4 +146,25 @@ def oracle_sql() -> dict[str, str]:
             dw AS (SELECT doc_id, array_to_string(list_slice(w, CAST(k AS BIGINT), CAST(k + 12 AS BIGINT)), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
             iw AS (SELECT item_id, array_to_string(list_slice(w, CAST(k AS BIGINT), CAST(k + 12 AS BIGINT)), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13))
             SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+        "p6_report": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+            i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            dw AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, CAST(k AS BIGINT), CAST(k + 12 AS BIGINT)), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+            iw AS (SELECT item_id, k, array_to_string(list_slice(w, CAST(k AS BIGINT), CAST(k + 12 AS BIGINT)), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)),
+            m AS (SELECT doc_id, item_id, k FROM dw JOIN iw USING (g)),
+            h AS (SELECT item_id, count(DISTINCT doc_id) AS nd, count(DISTINCT k) AS nw FROM m GROUP BY item_id),
+            c AS (SELECT item_id, count(DISTINCT p) AS covered FROM (SELECT item_id, unnest(range(k, k + 13)) AS p FROM m) GROUP BY item_id)
+            SELECT item_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(nd, 0) AS BIGINT) AS n_documents, CAST(coalesce(nw, 0) AS BIGINT) AS n_windows, round(coalesce(covered / nullif(len(w), 0), 0), 6) AS leaked_share
+            FROM i LEFT JOIN h USING (item_id) LEFT JOIN c USING (item_id)""",
+        "p3_coverage": """
+            WITH x AS (SELECT DISTINCT extraction_id, extracted_text AS a, ocr_text AS b, loaded_at FROM extractions),
+            r AS (SELECT extraction_id, min(loaded_at) AS ts, max(length(coalesce(a, '')) + length(coalesce(b, ''))) AS n_chars FROM x GROUP BY extraction_id),
+            t AS (SELECT DISTINCT extraction_id, 0 AS f, a AS t FROM x WHERE length(a) >= 240 UNION SELECT DISTINCT extraction_id, 1, b FROM x WHERE length(b) >= 240),
+            w AS (SELECT extraction_id, f, i, hash(substring(t, CAST(i AS BIGINT), 240)) AS h FROM (SELECT extraction_id, f, t, unnest(range(1, length(t) - 238)) AS i FROM t)),
+            s AS (SELECT h, arg_min(extraction_id, (coalesce(ts, TIMESTAMP '9999-01-01'), extraction_id)) AS first_id FROM w JOIN r USING (extraction_id) GROUP BY h HAVING min(extraction_id) < max(extraction_id)),
+            m AS (SELECT DISTINCT extraction_id, f, i, first_id <> extraction_id AS later FROM w JOIN s USING (h)),
+            g AS (SELECT extraction_id, f, i, later, coalesce(i - lag(i) OVER (PARTITION BY extraction_id, f ORDER BY i), 240) AS new, CASE WHEN later THEN coalesce(i - lag(i) OVER (PARTITION BY extraction_id, f, later ORDER BY i), 240) END AS new_later FROM m),
+            c AS (SELECT extraction_id, sum(least(240, new)) AS shared, sum(CASE WHEN later THEN least(240, new_later) ELSE 0 END) AS removable FROM g GROUP BY extraction_id)
+            SELECT extraction_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CAST(coalesce(removable, 0) AS BIGINT) AS removable_chars, round(coalesce(shared / nullif(n_chars, 0), 0), 6) AS shared_share
+            FROM r LEFT JOIN c USING (extraction_id)""",
     }

@@ -6,7 +6,7 @@ a piece ends here: the next piece starts ``overlap`` code points back, so the
 successor lies at most ``size - overlap`` ahead. Squaring the successor table
 (``next = next[next]``) while marking what is reached gives all greedy cuts in
 log2(pieces) steps, each one vectorised pass over the table; nothing walks
-from cut to cut. A text's table lives in one Arrow row, so there is no shuffle.
+from cut to cut, not even where no boundary is in reach. A text's table lives in one Arrow row, so there is no shuffle.
 
 Rules. A piece ends at the best kind of boundary in reach, paragraph before
 sentence before word, and of that kind at the farthest; paragraph and sentence
@@ -68,18 +68,19 @@ def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
         return [(0, n)]
     kinds = _ends(text)
     nodes = np.unique(np.concatenate([np.array([0, n], np.int64), *kinds]))
-    # hard cuts have no boundary in reach; they run on from a boundary in steps, so close the table under them
-    new = nodes
-    table: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(new):
-        nxt = _successors(new, n, size, overlap, kinds)
-        nxt[new >= n] = n
-        table.append((new, nxt))
-        new = np.setdiff1d(nxt, nodes)
-        nodes = np.union1d(nodes, new)
-    frm = np.concatenate([a for a, _ in table])
-    to = np.concatenate([b for _, b in table])[np.argsort(frm)]
-    jump = np.searchsorted(nodes, to)
+    nxt = _successors(nodes, n, size, overlap, kinds)
+    nxt[-1] = n
+    hard = ~np.isin(nxt, nodes)
+    if hard.any():
+        # no boundary in reach: the cuts run on in equal steps to the boundary that ends the stretch, so all are known at once
+        step, first = size - overlap, nxt[hard]
+        last = nodes[np.searchsorted(nodes, first, side="right")]
+        count = (last - first - 1) // step + 1
+        new = np.unique(np.repeat(first, count) + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)))
+        order = np.argsort(np.concatenate([nodes, new]), kind="stable")
+        nxt = np.concatenate([nxt, _successors(new, n, size, overlap, kinds)])[order]
+        nodes = np.concatenate([nodes, new])[order]
+    jump = np.searchsorted(nodes, nxt)
     reached = np.zeros(len(nodes), bool)
     reached[0] = True
     while True:
@@ -103,12 +104,19 @@ def oversized(chunks: DataFrame, options: DataFrame, default_options: int = 1) -
     """``chunk_id, content, size, overlap_percentage, max_chunks`` of chunks longer than their options allow.
 
     A null ``options_id`` means ``default_options``; chunks with null content or
-    unknown options are no case; a chunk delivered twice is taken once. The
-    options are a parameter table with one row per id.
+    unknown options are no case; of a chunk delivered several times the newest
+    delivery counts, if there is a ``created_at``. The options are a parameter
+    table with one row per id. Natural ends are sought whatever the options
+    say about words.
     """
     opt = options.select(F.col("options_id").alias("oid"), F.col("chunk_size").alias("size"), "overlap_percentage", "max_chunks").filter("size > 0").dropDuplicates(["oid"])
-    c = chunks.select("chunk_id", "content", F.coalesce(F.col("options_id"), F.lit(default_options)).cast("long").alias("oid")).filter("content IS NOT NULL AND chunk_id IS NOT NULL")
-    return c.join(opt, "oid").filter(F.char_length("content") > F.col("size")).select("chunk_id", "content", "size", "overlap_percentage", "max_chunks").dropDuplicates(["chunk_id"])
+    when = F.col("created_at").cast("timestamp_ntz") if "created_at" in chunks.columns else F.lit(None).cast("timestamp_ntz")
+    c = chunks.filter("chunk_id IS NOT NULL").select("chunk_id", "content", F.coalesce(F.col("options_id"), F.lit(default_options)).cast("long").alias("oid"), when.alias("when"))
+    c = c.join(opt, "oid", "left").withColumn("over", F.coalesce(F.char_length("content") > F.col("size"), F.lit(False)))
+    # only what is too long travels as text
+    one = F.struct("when", "over", F.when(F.col("over"), F.col("content")).alias("content"), "size", "overlap_percentage", "max_chunks")
+    best = c.groupBy("chunk_id").agg(F.max_by(one, F.coalesce("when", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("c"))
+    return best.filter("c.over").select("chunk_id", "c.content", "c.size", "c.overlap_percentage", "c.max_chunks")
 
 
 def split(chunks: DataFrame, options: DataFrame, default_options: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quirespark.llm import leakage, lookalikes, mixing, quality, residue, scan_repair, shared_spans, splitting
 
@@ -92,6 +93,26 @@ def test_split_equals_greedy(text, size, pct):
     assert all(a[1] - b[0] == overlap for a, b in zip(got, got[1:]))
 
 
+def test_splitting_without_boundaries_is_linear():
+    import time
+
+    took = []
+    for n in (200_000, 1_600_000):
+        began = time.perf_counter()
+        cuts = splitting.cut_points("x" * n + " y", 100, 20)
+        took.append(time.perf_counter() - began)
+        assert len(cuts) >= n // 80 and all(e - s <= 100 for s, e in cuts)
+    assert took[1] < 8 * 4 * took[0]
+
+
+def test_newest_delivery_counts(spark):
+    rows = [(1, "x" * 30, None, "2020-01-01"), (1, "y" * 25, 1, "2020-01-02"), (2, "x" * 30, 1, "2020-01-01"), (2, "short", 1, "2020-01-02"), (3, "z" * 11, 1, None), (4, "w" * 99, 9, None), (5, "x" * 30, 1, "2020-01-01"), (5, None, 1, "2020-01-05")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, options_id long, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    options = spark.createDataFrame([(1, 10, 20, 2)], "options_id long, chunk_size int, overlap_percentage int, max_chunks int")
+    p = splitting.split(chunks, options).collect()
+    assert {r["chunk_id"] for r in p} == {1, 3} and {r["content"][0] for r in p if r["chunk_id"] == 1} == {"y"}
+
+
 def test_split_boundaries_and_edges(spark):
     assert splitting.cut_points("aaa bbb. ccc ddd", 10, 0)[0] == (0, 8)
     assert splitting.cut_points("aaaaaa\n\nbb. bbbb", 10, 0)[0] == (0, 8)
