@@ -46,6 +46,10 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.coverage(table(spark, d, "extractions"), "extraction_id", TEXTS, "loaded_at")
 
 
+def p3_removed(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.removed(table(spark, d, "extractions"), "extraction_id", TEXTS, "loaded_at")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.found(table(spark, d, "extractions"))
 
@@ -95,7 +99,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p1_classes, p2_found, p2_pieces, p3_found, p3_spans, p3_coverage, p4_found, p4_repaired, p4_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_flagged, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p1_classes, p2_found, p2_pieces, p3_found, p3_spans, p3_coverage, p3_removed, p4_found, p4_repaired, p4_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_flagged, p8_kept)}
 
 
 _COMMON = ", ".join(f"'{w}'" for w in sorted(quality.COMMON))

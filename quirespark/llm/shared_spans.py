@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import durable
@@ -43,7 +43,8 @@ _KIND = np.zeros(0x2030, np.uint8)  # 1 blank, 2 line end, 4 closing punctuation
 _KIND[[0x20, 0xA0, 0x2002, 0x2007, 0x2009]] = 1
 _KIND[10] = 2
 _KIND[[ord(c) for c in ".!?:;"]] = 4
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BLOCK = 4096  # code points of one field whose windows are held at once
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
+def _rolling(codes: np.ndarray, width: int, base: np.uint64 = _BASE) -> np.ndarray:
     """Digest of every window of ``width`` code points, without overflow checks.
 
     Windows are combined by doubling, so the cost is log2(width) passes.
@@ -65,7 +66,7 @@ def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    have, h = 1, _mix(codes * _BASE + np.uint64(1))
+    have, h = 1, _mix(codes * base + np.uint64(1))
     parts: list[tuple[int, np.ndarray]] = []
     rest = width
     while True:
@@ -74,12 +75,12 @@ def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
         rest >>= 1
         if not rest:
             break
-        power = np.uint64(pow(int(_BASE) | 1, have, 1 << 64))
+        power = np.uint64(pow(int(base) | 1, have, 1 << 64))
         h = h[: len(h) - have] * power + h[have:]
         have *= 2
     out, at = np.zeros(n, np.uint64), 0
     for size, values in parts:
-        power = np.uint64(pow(int(_BASE) | 1, size, 1 << 64))
+        power = np.uint64(pow(int(base) | 1, size, 1 << 64))
         out = out * power + values[at : at + n]
         at += size
     return _mix(out)
@@ -159,9 +160,9 @@ def units(long: DataFrame) -> DataFrame:
     return long.select("id", "field", "text").mapInPandas(run, "digest long, id long, field int, start int, whole long")
 
 
-def shared(rows: DataFrame, key: str) -> DataFrame:
+def shared(rows: DataFrame, *key: str) -> DataFrame:
     """Keys held by two or more ids; a partial aggregate per map task keeps hot keys to one row each."""
-    return rows.groupBy(key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(key)
+    return rows.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(*key)
 
 
 def candidates(long: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def _window_starts(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def windows(long: DataFrame, where: DataFrame) -> DataFrame:
-    """``digest, id, rank, field, at``: the exact windows over the given regions.
+    """``digest, other, id, rank, field, at``: the exact windows over the given regions, with two independent digests of 64 bits.
 
     The regions are broadcast while they are few (at most ``BROADCAST_BYTES``); beyond that both sides are shuffled.
     """
@@ -204,16 +205,16 @@ def windows(long: DataFrame, where: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 lo, hi = int(at[0]), int(at[-1]) + MIN_LEN
-                d = _rolling(codes[lo:hi], MIN_LEN)[at - lo].view(np.int64)
+                d, o = (_rolling(codes[lo:hi], MIN_LEN, base)[at - lo].view(np.int64) for base in (_BASE, _OTHER))
                 for k in range(0, len(at), 65536):  # a very long text leaves in pieces
                     m = min(65536, len(at) - k)
-                    yield pd.DataFrame({"digest": d[k : k + m], "id": np.full(m, i), "rank": np.full(m, r), "field": np.full(m, f, "int32"), "at": at[k : k + m].astype("int32")})
+                    yield pd.DataFrame({"digest": d[k : k + m], "other": o[k : k + m], "id": np.full(m, i), "rank": np.full(m, r), "field": np.full(m, f, "int32"), "at": at[k : k + m].astype("int32")})
 
     where = durable(where)
     size = where.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("s")).first()
     if size["n"] * 64 + size["s"] * 4 <= BROADCAST_BYTES:
         where = F.broadcast(where)
-    return long.select("id", "field", "text").join(where, ["id", "field"]).mapInPandas(run, "digest long, id long, rank long, field int, at int")
+    return long.select("id", "field", "text").join(where, ["id", "field"]).mapInPandas(run, "digest long, other long, id long, rank long, field int, at int")
 
 
 def found(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -227,21 +228,41 @@ def found(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """
     long = fields(df, id_col, text_cols)
     hits = candidates(long)
-    whole = hits.filter("whole != 0").select("whole", "id")
-    settled = durable(whole.join(shared(whole, "whole"), "whole", "left_semi").select("id").distinct())
+    whole = hits.filter("whole != 0").select("digest", "whole", "id")
+    settled = durable(whole.join(shared(whole, "digest", "whole"), ["digest", "whole"], "left_semi").select("id").distinct())
     open_units = hits.join(settled, "id", "left_anti").select("digest").distinct()
-    w = windows(long, regions(hits.join(open_units, "digest", "left_semi"))).select("digest", "id")
-    more = w.join(shared(w, "digest"), "digest", "left_semi").select("id")
+    w = durable(windows(long, regions(hits.join(open_units, "digest", "left_semi"))).select("digest", "other", "id").distinct())
+    more = w.join(shared(w, "digest", "other"), ["digest", "other"], "left_semi").select("id")
     return settled.union(more).select(F.col("id").alias(id_col)).distinct()
 
 
-def spans(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None = None) -> DataFrame:
-    """Maximal shared spans with original offsets, and what deduplication would remove.
+def _intervals(at: np.ndarray) -> list[tuple[int, int]]:
+    """``(begin, end)`` of the stretches that sorted windows cover."""
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > MIN_LEN) + 1
+    return [(int(at[a]), int(at[z - 1]) + MIN_LEN) for a, z in zip([0, *cut], [*cut, len(at)])]
+
+
+def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+_PARTS = "id long, field int, later boolean, begin int, end int"
+
 
-    ``id, field_name, begin, end, removable``: ``begin``/``end`` are code point
-    offsets of a stretch all of whose windows occur elsewhere; ``removable`` is
-    how many of its code points lie in windows of which an earlier ranked
-    record (rank, then id) holds the first occurrence.
+def _stretches(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None) -> DataFrame:
+    """``id, field, begin, end, later``: maximal stretches all of whose windows occur in another id, and (``later``) those whose windows
+    an earlier ranked id holds first.
+
+    The windows of a field are put together by blocks of ``_BLOCK`` code points, so that
+    no task holds one row per code point of a whole text.
     """
     long = fields(df, id_col, text_cols)
     where = regions(candidates(long)).drop("rank")
@@ -252,32 +273,69 @@ def spans(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None
     else:
         where = where.withColumn("rank", F.lit(0).cast("long"))
     w = windows(long, where)
-    first = w.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", F.struct("rank", "id")).alias("first_id")).filter("lo < hi").select("digest", "first_id")
-    hit = w.join(first, "digest").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("first_id") != F.col("id")).alias("later")))).alias("w"))
+    key = ["digest", "other"]
+    first = w.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("rank", "id")).alias("first")).filter("lo < hi").select(*key, F.col("first.id").alias("first_id"))
+    hit = w.join(first, key).select("id", "field", F.floor(F.col("at") / _BLOCK).alias("block"), "at", (F.col("first_id") != F.col("id")).alias("later"))
+    hit = hit.groupBy("id", "field", "block").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("later"), F.col("at"))).alias("late"))
+
+    def in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, f, later, a, z) for i, f, every, late in zip(b["id"], b["field"], b["at"], b["late"]) for later, at in ((False, every), (True, late)) for a, z in _intervals(np.sort(np.asarray(at, np.int64)))]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PARTS.split(", ")])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, f, later, a, z) for i, f, later, parts in zip(b["id"], b["field"], b["later"], b["parts"]) for a, z in _merged([(x["begin"], x["end"]) for x in parts])]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PARTS.split(", ")])
+
+    parts = hit.mapInPandas(in_block, _PARTS).groupBy("id", "field", "later").agg(F.collect_list(F.struct("begin", "end")).alias("parts"))
+    return parts.mapInPandas(whole, _PARTS)
+
+
+def _field_name(text_cols: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in text_cols]), F.col("field") + 1)
+
+
+def spans(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None = None) -> DataFrame:
+    """Maximal shared spans with original offsets, and what deduplication removes.
+
+    ``id, field_name, begin, end, removable``: code point offsets of a stretch all
+    of whose windows occur elsewhere (``removable`` false), and of the stretches
+    whose windows an earlier ranked record (rank, then id) holds first (``removable`` true).
+    """
+    return _stretches(df, id_col, text_cols, rank_col).select(F.col("id").alias(id_col), _field_name(text_cols).alias("field_name"), "begin", "end", F.col("later").alias("removable"))
+
+
+def removed(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None = None) -> DataFrame:
+    """``id, field_name, text, removed_spans``: the field values from which later occurrences of shared spans were removed.
+
+    Only values that lose something have rows; ``removed_spans`` keeps the original
+    offsets, so that the rest can be located. The earliest ranked record keeps its
+    text. Several different texts of one id and field are cut alike where
+    they are long enough; equal rows give one.
+    """
+    cut = _stretches(df, id_col, text_cols, rank_col).filter("later").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("cut"))
+    x = fields(df, id_col, text_cols).join(cut, ["id", "field"]).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, f, ws in zip(b["id"], b["field"], b["w"]):
-                at = np.fromiter((x["at"] for x in ws), np.int64, len(ws))
-                later = np.fromiter((x["later"] for x in ws), bool, len(ws))
-                cut = np.flatnonzero(np.diff(at) > MIN_LEN) + 1
-                for a, z in zip([0, *cut], [*cut, len(at)]):
-                    begin, end = int(at[a]), int(at[z - 1]) + MIN_LEN
-                    mark = np.zeros(end - begin + 1, np.int32)
-                    np.add.at(mark, at[a:z][later[a:z]] - begin, 1)
-                    np.add.at(mark, at[a:z][later[a:z]] - begin + MIN_LEN, -1)
-                    out.append((i, f, begin, end, int((np.cumsum(mark)[:-1] > 0).sum())))
-            yield pd.DataFrame(out, columns=["id", "field", "begin", "end", "removable"])
-
-    names = F.array(*[F.lit(c) for c in text_cols])
-    return hit.mapInPandas(run, "id long, field int, begin int, end int, removable int").select(F.col("id").alias(id_col), F.element_at(names, F.col("field") + 1).alias("field_name"), "begin", "end", "removable")
+            for t, cut in zip(b["text"], b["cut"]):
+                kept, at = [], 0
+                for x in cut:
+                    kept.append(t[at : x["begin"]])
+                    at = x["end"]
+                out.append("".join(kept) + t[at:])
+            yield pd.DataFrame({"id": b["id"], "field": b["field"], "text": out, "cut": b["cut"]})
+
+    got = x.mapInPandas(run, "id long, field int, text string, cut array<struct<begin:int, end:int>>")
+    return got.select(F.col("id").alias(id_col), _field_name(text_cols).alias("field_name"), "text", F.col("cut").alias("removed_spans"))
 
 
 def coverage(df: DataFrame, id_col: str, text_cols: list[str], rank_col: str | None = None) -> DataFrame:
     """Per record: code points held, shared with other records, and removable; records without text count 0."""
     total = df.groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.max(sum((F.coalesce(F.char_length(c), F.lit(0)) for c in text_cols), F.lit(0))).cast("long").alias("n_chars"))
-    s = spans(df, id_col, text_cols, rank_col).groupBy(id_col).agg(F.sum(F.col("end") - F.col("begin")).alias("shared"), F.sum("removable").alias("rem"))
+    s = spans(df, id_col, text_cols, rank_col).groupBy(id_col).agg(F.sum(F.when(~F.col("removable"), F.col("end") - F.col("begin"))).alias("shared"), F.sum(F.when(F.col("removable"), F.col("end") - F.col("begin"))).alias("rem"))
     return total.join(s, id_col, "left").select(
         id_col,
         "n_chars",

@@ -157,6 +157,19 @@ def test_shared_spans_against_brute_force(spark):
     assert {i for i, x in cov.items() if x["shared_chars"] >= 240} == got
     assert cov[15]["shared_chars"] == 267 and cov[15]["removable_chars"] == 267 and cov[14]["removable_chars"] == 0
     assert shared_spans.found(df.limit(0), "extraction_id", ["a", "b"]).count() == 0
+    cut = {(x["extraction_id"], x["field_name"]): x for x in shared_spans.removed(df, "extraction_id", ["a", "b"]).collect()}
+    text = {(i, f): t for i, *ts in rows for f, t in zip("ab", ts)}
+    lost = Counter()
+    for k, x in cut.items():
+        back, at = "", 0
+        for c in x["removed_spans"]:
+            back += x["text"][len(back) - sum(z["end"] - z["begin"] for z in x["removed_spans"] if z["end"] <= c["begin"]) :][: c["begin"] - at] + text[k][c["begin"] : c["end"]]
+            at = c["end"]
+            lost[k[0]] += c["end"] - c["begin"]
+        assert back + text[k][at:] == text[k] and len(x["text"]) == len(text[k]) - sum(c["end"] - c["begin"] for c in x["removed_spans"])
+    assert {i: x["removable_chars"] for i, x in cov.items() if x["removable_chars"]} == lost
+    assert cut[15, "a"]["text"] == "qq" and (14, "a") not in cut
+    assert shared_spans.removed(df.limit(0), "extraction_id", ["a", "b"]).count() == 0
 
 
 def test_stretch_of_exactly_gap(spark):
@@ -170,6 +183,15 @@ def test_stretch_of_exactly_gap(spark):
     assert {x[0] for x in shared_spans.found(df, "id", ["t"]).collect()} == shared_brute(rows) == set(range(16))
 
 
+def test_spans_are_merged_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "_BLOCK", 64)
+    r = random.Random(16)
+    long = prose(r, 400)
+    df = spark.createDataFrame([(1, prose(r, 20) + "#" + long), (2, long + "#" + prose(r, 90))], "id long, t string")
+    got = {(x["id"], x["removable"]): (x["begin"], x["end"]) for x in shared_spans.spans(df, "id", ["t"]).collect()}
+    assert got[2, False] == got[2, True] == (0, len(long)) and (1, True) not in got
+
+
 def test_hot_passage(spark):
     r = random.Random(6)
     hot = prose(r, 60)
