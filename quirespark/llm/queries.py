@@ -86,6 +86,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_capped_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Three times the largest mixture without a binding cap, so that small sources reach theirs."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=3.0)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "documents"))
 
@@ -99,7 +104,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p1_classes, p2_found, p2_pieces, p3_found, p3_spans, p3_coverage, p3_removed, p4_found, p4_repaired, p4_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_flagged, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p1_classes, p2_found, p2_pieces, p3_found, p3_spans, p3_coverage, p3_removed, p4_found, p4_repaired, p4_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p7_capped_shares, p8_found, p8_flagged, p8_kept)}
 
 
 _COMMON = ", ".join(f"'{w}'" for w in sorted(quality.COMMON))

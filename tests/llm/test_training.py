@@ -427,12 +427,38 @@ def test_mixing(spark):
     assert mixing.mix(D.limit(0), T).count() == 0
 
 
-def test_sampling_equals_prefix_sums(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SLICE", 7)
+@pytest.mark.parametrize("size", [3, 7, 2000])
+def test_sampling_equals_prefix_sums(spark, monkeypatch, size):
+    monkeypatch.setattr(mixing, "SLICE", size)
     t = spark.createDataFrame([(i, "s", i % 5) for i in range(100)], "doc_id long, source string, n_tokens long")
     p = spark.createDataFrame([("s", 0.3, 100, 1.37)], "source string, target_share double, n_documents long, copies double")
-    got = mixing.sample(t, p)
-    assert abs(sum(x["copies"] for x in got.collect()) - 137) <= 1
+    got = mixing.sample(t, p).collect()
+    assert abs(sum(x["copies"] for x in got) - 137) <= 1 and {x["copies"] for x in got} == {1, 2} and len(got) == 100
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+@pytest.mark.parametrize("fill", [1.0, 3.0])
+def test_mixture_of_the_test_tables(spark, fill):
+    """Shares and caps from the tables' sizes, computed beside."""
+    docs, targets = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "mix_targets"))
+    size = Counter()
+    for x in mixing.with_tokens(docs).select("source", "n_tokens").collect():
+        if x["source"] and x["source"].strip():
+            size[x["source"].strip().lower()] += x["n_tokens"]
+    want = {x["source"].strip().lower(): x for x in targets.collect()}
+    total = fill * min(size[k] * x["max_repeats"] / x["target_share"] for k, x in want.items() if size[k] and x["target_share"])
+    copies = {k: min(total * x["target_share"] / size[k], x["max_repeats"]) if size[k] else 0 for k, x in want.items()}
+    mixed = {k: copies[k] * size[k] for k in want}
+    got = {x["source"]: x for x in mixing.shares(docs, targets, fill=fill).collect()}
+    assert set(got) == set(want)
+    for k, x in got.items():
+        assert x["n_tokens"] == size[k] and x["reached_share"] == pytest.approx(mixed[k] / sum(mixed.values()), abs=0.01) and x["most_copies"] <= want[k]["max_repeats"]
+        assert x["most_copies"] - copies[k] < 1
+
+
+def test_text_without_blanks_is_tokenised_whole(spark):
+    assert list(mixing._pieces("x" * 250_000)) == ["x" * 250_000]
+    assert "".join(mixing._pieces("ab  " * 60_000 + "a b " * 60_000)) == "ab  " * 60_000 + "a b " * 60_000
 
 
 def test_tokens_of_long_texts(spark):
