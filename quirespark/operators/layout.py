@@ -27,7 +27,7 @@ OCR_SCHEMA = (
 TOLERANCE = 7.0
 PAGE_CENTRE, CENTRE_TOLERANCE, WIDTH_SHARE = 1240.0, 100.0, 0.99
 #: line type -> (offset from the text's left edge, tolerance), in the order in which types claim clusters
-OFFSETS = P.BOOK_TYPES["collected-works"]["offsets"]
+OFFSETS = P.BOOK_TYPES["werk"]["offsets"]
 
 
 def flatten(pages: DataFrame) -> DataFrame:
@@ -67,22 +67,27 @@ def clusters(lines: DataFrame, parity: bool = True) -> DataFrame:
     return x.select("doc_id", "page_no", F.col("cluster").cast("long").alias("cluster"), "g.n", F.col("g.lo").alias("min_x0"), F.col("g.hi").alias("max_x0"), F.round(F.col("g.wsum") / F.col("g.n"), 6).alias("average_width"), F.col("g.wmax").alias("max_width"), F.round(F.col("g.sum") / F.col("g.n"), 6).alias("mean_x0"))
 
 
-def metrics(lines: DataFrame, parity: bool = True, offsets: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def metrics(lines: DataFrame, parity: bool = True, offsets: dict[str, tuple[float, float]] | None = None, types: DataFrame | None = None, config: dict[str, dict] | None = None) -> DataFrame:
     """``doc_id, page_no, metrics``: the clusters of a page under their line types, in order.
 
+    With ``types`` (``doc_id, book_type``) each book has the offsets of its type
+    in ``config``, an unknown or missing type those of 'default'.
+
     The largest cluster (the first on a tie) is the text; then each type
     claims the nearest unused cluster within its tolerance; what is left is
     unknown-1, unknown-2 and so on.
     """
-    wanted = offsets or OFFSETS
+    of_type, one = config or P.BOOK_TYPES, offsets or OFFSETS
+    same = types is None
     c = clusters(lines, parity)
     g = c.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "min_x0", "max_x0", "average_width", "max_width", "mean_x0"))).alias("c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, p, cs in zip(b["doc_id"], b["page_no"], b["c"]):
+            for d, p, cs, kind in zip(b["doc_id"], b["page_no"], b["c"], b["book_type"]):
                 cs = list(cs)
+                wanted = one if same else of_type.get(kind, of_type.get("default", {})).get("offsets", {})
                 main = max(range(len(cs)), key=lambda k: (cs[k]["n"], -k))
                 used, rows, base = {main}, [("paragraph-text", cs[main])], cs[main]["mean_x0"]
                 for kind, (offset, tolerance) in wanted.items():
@@ -95,13 +100,24 @@ def metrics(lines: DataFrame, parity: bool = True, offsets: dict[str, tuple[floa
                 out.append((d, p, [{"type": t, "min_x0": v["min_x0"], "max_x0": v["max_x0"], "average_width": v["average_width"], "max_width": v["max_width"]} for t, v in rows]))
             yield pd.DataFrame(out, columns=["doc_id", "page_no", "metrics"])
 
+    g = g.withColumn("book_type", F.lit(None).cast("string")) if types is None else g.join(types.select("doc_id", "book_type"), "doc_id", "left")
     return g.mapInPandas(run, "doc_id string, page_no int, metrics array<struct<type: string, min_x0: double, max_x0: double, average_width: double, max_width: double>>")
 
 
 def line_types(lines: DataFrame, m: DataFrame) -> DataFrame:
-    """Adds ``line_type``: the first metric whose range holds the line's left edge, else paragraph-text."""
+    """Adds ``line_type``: footnote-start for a line whose words, if there are any, open with a raised mark; else the first metric whose
+    range holds the line's left edge, else paragraph-text."""
     hit = F.filter("metrics", lambda v: (v["min_x0"] <= F.col("x0")) & (F.col("x0") <= v["max_x0"]))
-    return lines.join(m, ["doc_id", "page_no"], "left").withColumn("line_type", F.coalesce(F.try_element_at(hit, F.lit(1))["type"], F.lit("paragraph-text"))).drop("metrics")
+    kind = F.coalesce(F.try_element_at(hit, F.lit(1))["type"], F.lit("paragraph-text"))
+    if "words" in lines.columns:
+        kind = F.when(footnote_mark(F.col("words")) != "", "footnote-start").otherwise(kind)
+    return lines.join(m, ["doc_id", "page_no"], "left").withColumn("line_type", kind).drop("metrics")
+
+
+def book_types(manifests: DataFrame) -> DataFrame:
+    """``doc_id, book_type``: the type of each book's newest registration; null where it has none."""
+    m = manifests.groupBy(F.col("book_key").alias("doc_id")).agg(F.max_by(F.struct("original.book_type"), F.coalesce("registered_at", F.lit("0001-01-01").cast("timestamp"))).alias("m"))
+    return m.select("doc_id", "m.book_type")
 
 
 def centred(x0: Column, x1: Column) -> Column:
@@ -128,19 +144,6 @@ def footnote_mark(words: Column) -> Column:
 
 
 # --- header patterns -------------------------------------------------------------
-PLACEHOLDERS: list[tuple[str, str]] = [
-    ("roman-number", "(" + "|".join(P.ROMAN) + ")"),
-    ("title-in-capital-letters", "([A-ZÄÖÜ0-9][A-ZÄÖÜ «»-]*)"),
-    ("decimal-number", r"(\d+)"),
-    ("title", "([A-ZÄÖÜ«»-][^.]{2,}?)"),
-    ("title-with-decimal-number", r"(\d+\.\s+(?!(?:" + "|".join(P.MONTHS) + r")(?![A-Za-z0-9_]))[A-ZÄÖÜ«»-][^.]{2,}?)"),
-    ("german-ordinal", "(" + "|".join(P.ORDINALS) + ")"),
-    ("place", r"([A-ZÄÖÜ][A-Za-zäöüÄÖÜß\s-]+?)"),
-    ("long-date", r"(\d{1,2}\.\s+(?:" + "|".join(P.MONTHS) + r")\s+\d{4})"),
-    ("no-paragraph-end-marker", r"((?:(?!(?:!|\?|\.»|!»|\?»)$)(?![0-9a-z])[\s\S])+?)"),
-]
-
-
 def compile_header(pattern: str) -> tuple[str, list[str]]:
     """An anchored regular expression of the header notation, and the names of its captures.
 
@@ -149,7 +152,7 @@ def compile_header(pattern: str) -> tuple[str, list[str]]:
     """
     body = re.sub(r"[.*+?^$\\]", lambda m: "\\" + m[0], pattern)
     names = re.findall(r"\{([a-z-]+)\}", pattern)
-    for name, rx in PLACEHOLDERS:
+    for name, rx in P.PLACEHOLDERS:
         body = body.replace("{" + name + "}", rx, 1)
     body = re.sub(r"\{(?=[a-z-]+\})", r"\\{", body)
     return f"^{body}$", names
@@ -174,8 +177,20 @@ def ordinal(t: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup(P.ROMAN), roman), F.try_to_number(F.nullif(digits, F.lit("")), F.lit("9" * 18)).cast("int"), F.try_element_at(lookup(P.ORDINALS), german)).cast("long")
 
 
+def remove_by_type(df: DataFrame, text: str, config: dict[str, dict] | None = None) -> tuple[Column, Column]:
+    """The text without what the removal patterns of its ``book_type`` match, and how often they matched; unknown types are 'default'."""
+    config = config or P.BOOK_TYPES
+    out, n = T.remove_patterns(F.col(text), config.get("default", {}).get("removal", []), bare_is_regex=True)
+    for kind, c in config.items():
+        if kind != "default" and c.get("removal"):
+            a, k = T.remove_patterns(F.col(text), c["removal"], bare_is_regex=True)
+            mine = F.col("book_type").eqNullSafe(F.lit(kind))
+            out, n = F.when(mine, a).otherwise(out), F.when(mine, k).otherwise(n)
+    return out, n
+
+
 # --- the page fold --------------------------------------------------------------------
-HEADER_LEVELS: list[list[tuple[str, bool]]] = P.BOOK_TYPES["collected-works"]["headers"]
+HEADER_LEVELS: list[list[tuple[str, bool]]] = P.BOOK_TYPES["werk"]["headers"]
 
 
 def _garbage(t: str) -> str:
@@ -207,7 +222,8 @@ def fold_page(texts: list[str], x0: list[float], x1: list[float], types: list[st
     join the footnotes, by their type. The first line of a page continues the
     text if it is of the text's own type.
     """
-    forms = [[(re.compile(compile_header(p)[0]), multi) for p, multi in level] for level in (levels or HEADER_LEVELS)]
+    forms = [[(re.compile(compile_header(p)[0]), multi) for p, multi in level] for level in (HEADER_LEVELS if levels is None else levels)]
+    texts = [t.strip() for t in texts]
     mid = lambda k: abs((x0[k] + x1[k]) / 2 - PAGE_CENTRE) <= CENTRE_TOLERANCE and (not max_width or x1[k] - x0[k] <= WIDTH_SHARE * max_width)
     text, foot, i = "", "", 0
     while i < len(texts):
@@ -247,18 +263,29 @@ def fold_page(texts: list[str], x0: list[float], x1: list[float], types: list[st
     return text, foot
 
 
-def fold_pages(lines: DataFrame) -> DataFrame:
-    """``doc_id, page_no, text, footnotes``: every page folded; a line delivered twice counts once, null texts are blank lines."""
-    one = lines.dropDuplicates(["doc_id", "page_no", "line_no"])
-    m = metrics(one)
+def fold_pages(lines: DataFrame, types: DataFrame | None = None, config: dict[str, dict] | None = None) -> DataFrame:
+    """``doc_id, page_no, text, footnotes``: every page folded by the header formats of its book's type.
+
+    ``types`` (``doc_id, book_type``) names the types, without it all books are of the
+    type 'werk'; a type that ``config`` does not know has the formats of 'default'.
+    A line delivered twice counts once, lines without a box are left out, null texts
+    are blank lines.
+    """
+    known = config or P.BOOK_TYPES
+    one = lines.filter("x0 IS NOT NULL AND x1 IS NOT NULL").dropDuplicates(["doc_id", "page_no", "line_no"])
+    m = metrics(one, types=types, config=config)
     width = F.try_element_at(F.filter("metrics", lambda v: v["type"] == "paragraph-text"), F.lit(1))["max_width"]
     typed = line_types(one, m).join(m.select("doc_id", "page_no", F.coalesce(width, F.lit(0.0)).alias("mw")), ["doc_id", "page_no"], "left")
-    cell = F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("x0"), F.lit(0.0)).alias("x0"), F.coalesce(F.col("x1"), F.lit(0.0)).alias("x1"), "line_type")
+    cell = F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", "line_type")
     g = typed.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(cell)).alias("l"), F.max(F.coalesce("mw", F.lit(0.0))).alias("mw"))
+    g = g.withColumn("book_type", F.lit("werk")) if types is None else g.join(types.select("doc_id", "book_type"), "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [fold_page([x["text"] for x in ls], [x["x0"] for x in ls], [x["x1"] for x in ls], [x["line_type"] for x in ls], w) for ls, w in zip(b["l"], b["mw"])]
+            got = []
+            for ls, w, kind in zip(b["l"], b["mw"], b["book_type"]):
+                levels = known.get(kind, known.get("default", {})).get("headers", [])
+                got.append(fold_page([x["text"] for x in ls], [x["x0"] for x in ls], [x["x1"] for x in ls], [x["line_type"] for x in ls], w, levels))
             yield pd.DataFrame({"doc_id": b["doc_id"], "page_no": b["page_no"], "text": [t for t, _ in got], "footnotes": [f for _, f in got]})
 
     return g.mapInPandas(run, "doc_id string, page_no int, text string, footnotes string")

@@ -90,8 +90,8 @@ def headers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def header_statistics(h: DataFrame) -> DataFrame:
     """``id, type, pattern_no, n, confidence, examples``: per document and pattern, with the first three lines as examples."""
-    g = h.groupBy("id", "type", "pattern_no").agg(F.count("*").alias("n"), F.min_by("line", "line_no").alias("first_example"))
-    return g.select("id", "type", "pattern_no", "n", F.when(F.col("n") > 1, 0.8).otherwise(0.6).alias("confidence"), "first_example")
+    g = h.groupBy("id", "type", "pattern_no").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("line_no", "line"))), 1, 3)["line"].alias("examples"))
+    return g.select("id", "type", "pattern_no", "n", F.when(F.col("n") > 1, 0.8).otherwise(0.6).alias("confidence"), "examples")
 
 
 def consistent_numbering(h: DataFrame) -> DataFrame:
@@ -139,7 +139,15 @@ def dialogues(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dialogue_statistics(d: DataFrame) -> DataFrame:
-    return d.groupBy("id").agg(F.count("*").alias("n_lines"), F.countDistinct("speaker").alias("n_speakers"))
+    """``id, n_lines, n_speakers, speakers``: with the first five different speakers in their order."""
+    first = d.groupBy("id", "speaker").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    who = F.slice(F.array_sort(F.collect_list(F.struct("line_no", "speaker"))), 1, 5)["speaker"]
+    return first.groupBy("id").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_speakers"), who.alias("speakers"))
+
+
+def footnote_statistics(f: DataFrame) -> DataFrame:
+    """``id, pattern_no, type, n, first_reference``: footnote lines per pattern and kind of reference."""
+    return f.groupBy("id", "pattern_no", "type").agg(F.count("*").alias("n"), F.min_by("reference", "line_no").alias("first_reference"))
 
 
 def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -122,11 +122,21 @@ def parse_responses(df: DataFrame, json_col: str) -> DataFrame:
     return df.withColumn("response", r).withColumn("response_ok", F.coalesce(ok, F.lit(False)))
 
 
+def _best(parsed: DataFrame, entries: str, index: str) -> DataFrame:
+    """``book_key, idx, corrected, confidence, ...``: per index the entry of the highest confidence; the earlier chunk wins a tie."""
+    c = parsed.filter("response_ok").select("book_key", "chunk_no", F.posexplode(f"response.{entries}").alias("k", "c"))
+    best = F.max_by("c", F.struct(F.coalesce("c.confidence", F.lit(0.0)), -F.col("chunk_no"), -F.col("k")))
+    return c.groupBy("book_key", F.col(f"c.{index}").cast("long").alias("idx")).agg(best.alias("b"))
+
+
 def merge_corrections(parsed: DataFrame) -> DataFrame:
     """``book_key, idx, corrected, confidence``: per entry the correction of the highest confidence; the earlier chunk wins a tie."""
-    c = parsed.filter("response_ok").select("book_key", "chunk_no", F.posexplode("response.corrections").alias("k", "c"))
-    best = F.max_by(F.struct("c.corrected", "c.confidence"), F.struct("c.confidence", -F.col("chunk_no"), -F.col("k")))
-    return c.groupBy("book_key", F.col("c.index").cast("long").alias("idx")).agg(best.alias("b")).select("book_key", "idx", "b.corrected", "b.confidence")
+    return _best(parsed, "corrections", "index").select("book_key", "idx", "b.corrected", "b.confidence")
+
+
+def merge_matches(parsed: DataFrame) -> DataFrame:
+    """``book_key, idx, corrected, position, confidence``: per matched entry the match of the highest confidence; the earlier chunk wins a tie."""
+    return _best(parsed, "matchedEntries", "originalIndex").select("book_key", "idx", F.col("b.correctedText").alias("corrected"), "b.position", "b.confidence")
 
 
 def merged_confidence(parsed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ inventory.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -175,25 +176,17 @@ def ocr_garbage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ocr_lines").select("doc_id", "page_no", "line_no", T.remove_garbage(F.col("text")).alias("clean")).distinct()
 
 
-_SAFE = [r for r in P.UMLAUT_RULES if "(?=" not in r[0]]
-
-
 def _umlaut_sql(x: str) -> tuple[str, str]:
-    n = " + ".join(_hits(x, p, i) for p, i, _ in _SAFE)
-    for p, i, by in _SAFE:
+    """RE2 has no look-ahead: what must follow is captured and put back."""
+    rules = [(p, i, by) if "(?=" not in p else (re.sub(r"\\b\(\?=(.*?)\((.*)\)\)$", r"(\1(?:\2))", p), i, by + "$1") for p, i, by in P.UMLAUT_RULES]
+    n = " + ".join(_hits(x, p, i) for p, i, _ in rules)
+    for p, i, by in rules:
         x = _sub(x, p, by.replace("$1", r"\1").replace("$2", r"\2"), i)
     return x, n
 
 
 @query("SELECT extraction_id, {0} AS fixed, ({1})::BIGINT AS corrections FROM extractions".format(*_umlaut_sql("ocr_text")))
 def umlaut_fix(spark: SparkSession, d: str) -> DataFrame:
-    """All rules but the one that looks ahead, which the checking SQL cannot say."""
-    out, n = T.fix_umlauts(F.col("ocr_text"), _SAFE)
-    return table(spark, d, "extractions").select("extraction_id", out.alias("fixed"), n.alias("corrections"))
-
-
-@query()
-def umlaut_fix_all(spark: SparkSession, d: str) -> DataFrame:
     out, n = T.fix_umlauts(F.col("ocr_text"))
     return table(spark, d, "extractions").select("extraction_id", out.alias("fixed"), n.alias("corrections"))
 
@@ -282,13 +275,30 @@ def quality_txt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "enhancements").select("enhancement_id", *[c.alias(k) for k, c in q.items()]).distinct()
 
 
-@query()
+def _points_sql(x: str, rules: list[tuple[str, str, int]]) -> str:
+    score = "100 - " + " - ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, _, p in rules)
+    conf = "1.0::DOUBLE - " + " - ".join(f"CASE WHEN {c} THEN {p / 100}::DOUBLE ELSE 0 END" for c, _, p in rules)
+    issues = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n, _ in rules) + "], lambda y: y IS NOT NULL), ',')"
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(0, least(100, {score})) END::BIGINT AS score, CASE WHEN {x} IS NOT NULL THEN round(greatest(0.0, least(1.0, {conf})), 6) END::DOUBLE AS confidence, CASE WHEN {x} IS NOT NULL THEN {issues} END AS issues"
+
+
+_MISSING = (f"length({_trim('x')}) < 100", "missing_text", 30)
+_BAD_CHARACTER = ("contains(x, chr(65533))", "encoding", 20)
+_NO_SENTENCE = (f"NOT {_has('x', r'[.!?]\s+[A-Z]')} AND length(x) > 500", "formatting", 10)
+
+
+@query(f"""
+    WITH e AS (SELECT DISTINCT extraction_id, extracted_text AS x FROM extractions WHERE file_type LIKE 'pdf%'),
+    ch AS (SELECT x, i, x[i] AS c FROM (SELECT x, unnest(range(1, length(x) + 1)) AS i FROM (SELECT DISTINCT x FROM e))),
+    g AS (SELECT x, c, i - row_number() OVER (PARTITION BY x, c ORDER BY i) AS k FROM ch WHERE c NOT IN (chr(10), chr(13), chr(8232), chr(8233))),
+    r AS (SELECT DISTINCT x FROM (SELECT x, c, k FROM g GROUP BY ALL HAVING count(*) >= 6))
+    SELECT extraction_id, {_points_sql('x', [_MISSING, _BAD_CHARACTER, ('x IN (SELECT x FROM r)', 'corruption', 15), _NO_SENTENCE])} FROM e""")
 def quality_pdf(spark: SparkSession, d: str) -> DataFrame:
     q = T.quality(F.col("extracted_text"), "pdf")
     return table(spark, d, "extractions").filter("file_type LIKE 'pdf%'").select("extraction_id", *[c.alias(k) for k, c in q.items()]).distinct()
 
 
-@query()
+@query(f"SELECT doc_id, {_points_sql('x', [_MISSING, _BAD_CHARACTER, ('regexp_matches(x, $$[<>]$$)', 'formatting', 15), ('len(regexp_extract_all(x, $$(?m)^# $$)) = 0', 'missing_text', 15), _NO_SENTENCE])} FROM (SELECT doc_id, text AS x FROM documents)")
 def quality_epub(spark: SparkSession, d: str) -> DataFrame:
     q = T.quality(F.col("text"), "epub", chapters=F.regexp_count("text", F.lit("(?m)^# ")))
     return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in q.items()])
@@ -456,7 +466,7 @@ def line_classify(spark: SparkSession, d: str) -> DataFrame:
     return L.headers(_enhanced(spark, d), "enhancement_id", "enhanced_text")
 
 
-@query(f"WITH {_LINES}, h AS ({_headers_sql()}) SELECT id, type, pattern_no, count(*) AS n, CASE WHEN count(*) > 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, arg_min(line, line_no) AS first_example FROM h GROUP BY id, type, pattern_no")
+@query(f"WITH {_LINES}, h AS ({_headers_sql()}) SELECT id, type, pattern_no, count(*) AS n, CASE WHEN count(*) > 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, list(line ORDER BY line_no)[1:3] AS examples FROM h GROUP BY id, type, pattern_no")
 def pattern_examples(spark: SparkSession, d: str) -> DataFrame:
     return L.header_statistics(L.headers(_enhanced(spark, d), "enhancement_id", "enhanced_text"))
 
@@ -483,6 +493,11 @@ def footnote_lines(spark: SparkSession, d: str) -> DataFrame:
     return L.footnotes(_enhanced(spark, d), "enhancement_id", "enhanced_text")
 
 
+@query(f"WITH {_LINES}, {_FN} SELECT id, pattern_no, type, count(*) AS n, arg_min(reference, line_no) AS first_reference FROM fn GROUP BY ALL")
+def footnote_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return L.footnote_statistics(L.footnotes(_enhanced(spark, d), "enhancement_id", "enhanced_text"))
+
+
 @query(f"""
     WITH {_LINES} SELECT id, line_no::BIGINT AS line_no, CASE WHEN {_has('raw', P.INDICATORS[0])} THEN 'numbered' WHEN {_has('raw', r'^\s*[\*\-•]\s+')} THEN 'bulleted' WHEN length(regexp_extract(raw, '^([ \\t]*)', 1)) >= 4 THEN 'indented' ELSE 'regular' END AS type,
     (length(regexp_extract(raw, '^([ \\t]*)', 1)) // 4)::BIGINT AS level FROM l WHERE line <> ''""")
@@ -493,15 +508,25 @@ def paragraph_types(spark: SparkSession, d: str) -> DataFrame:
 _A, _B = (re2(p) for p in P.DIALOGUES)
 
 
-@query(f"""
+_DIALOGUES = f"""
     WITH t AS (SELECT doc_id AS id, text AS x FROM documents), l AS (SELECT id, {_trim('line')} AS line, no - 1 AS line_no FROM (SELECT id, unnest(string_split(x, chr(10))) AS line, unnest(range(1, len(string_split(x, chr(10))) + 1)) AS no FROM t))
     SELECT id, line_no::BIGINT AS line_no, CASE WHEN regexp_matches(line, {_q(_A)}) THEN regexp_extract(line, {_q(_A)}, 1) ELSE regexp_extract(line, {_q(_B)}, 1) END AS speaker, CASE WHEN regexp_matches(line, {_q(_A)}) THEN regexp_extract(line, {_q(_A)}, 2) ELSE regexp_extract(line, {_q(_B)}, 3) END AS speech,
            CASE WHEN regexp_matches(line, {_q(_A)}) THEN regexp_extract(line, {_q(_A)}, 2) ELSE regexp_extract(line, {_q(_B)}, 2) END AS note
-    FROM l WHERE regexp_matches(line, {_q(_A)}) OR regexp_matches(line, {_q(_B)})""")
+    FROM l WHERE regexp_matches(line, {_q(_A)}) OR regexp_matches(line, {_q(_B)})"""
+
+
+@query(_DIALOGUES)
 def dialogues(spark: SparkSession, d: str) -> DataFrame:
     return L.dialogues(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"""
+    WITH d AS ({_DIALOGUES}), s AS (SELECT id, speaker, count(*) AS n, min(line_no) AS line_no FROM d GROUP BY id, speaker)
+    SELECT id, sum(n)::BIGINT AS n_lines, count(*) AS n_speakers, list(speaker ORDER BY line_no, speaker)[1:5] AS speakers FROM s GROUP BY id""")
+def dialogue_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return L.dialogue_statistics(L.dialogues(table(spark, d, "documents"), "doc_id", "text"))
+
+
 @query(" UNION ALL ".join(f"SELECT id, '{n}' AS feature, count(*) AS n, arg_min(raw, line_no) AS first_example FROM (WITH {_LINES} SELECT * FROM l) WHERE {_has('raw', p, True)} GROUP BY id" for n, p in P.FEATURES))
 def structure_features(spark: SparkSession, d: str) -> DataFrame:
     return L.features(_enhanced(spark, d), "enhancement_id", "enhanced_text")
@@ -731,6 +756,12 @@ def merge_responses(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_corrections(_answers(spark))
 
 
+@query(f"""{_PARSED}, c AS (SELECT book_key, chunk_no, unnest(from_json(j->'matchedEntries', '[{{"originalIndex":"BIGINT","correctedText":"VARCHAR","confidence":"DOUBLE","position":"INTEGER"}}]')) AS c FROM p WHERE ok)
+    SELECT book_key, c.originalIndex AS idx, arg_max(c.correctedText, c.confidence - chunk_no / 1000000.0) AS corrected, arg_max(c.position, c.confidence - chunk_no / 1000000.0) AS position, max(c.confidence) AS confidence FROM c GROUP BY book_key, c.originalIndex""")
+def merge_matches(spark: SparkSession, d: str) -> DataFrame:
+    return S.merge_matches(_answers(spark))
+
+
 @query(f"{_PARSED} SELECT book_key, count(*) AS n_chunks, sum(CASE WHEN ok THEN json_array_length(j->'newEntries') ELSE 0 END)::BIGINT AS n_new, round(avg(CASE WHEN ok THEN (j->>'confidence')::DOUBLE ELSE 0 END), 6) AS confidence FROM p GROUP BY book_key")
 def merged_confidence(spark: SparkSession, d: str) -> DataFrame:
     return S.merged_confidence(_answers(spark))
@@ -752,7 +783,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def x0_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return Y.clusters(_lines(spark, d), parity=False)
+    return Y.clusters(_lines(spark, d))
 
 
 @query()
@@ -788,9 +819,31 @@ def header_match(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_MONTH = "(?:" + "|".join(P.MONTHS) + ")"
+_PLACE, _DATE = r"[A-ZÄÖÜ][a-zäöüß]+(?:\s+[A-ZÄÖÜ][a-zäöüß]+)*", rf"\d{{1,2}}\.\s+{_MONTH}\s+\d{{4}}"
+_FORMATS = {
+    "roman": "{roman-number}.", "roman_title": "{roman-number} {title-in-capital-letters}", "capitals": "{title-in-capital-letters}", "decimal": "{decimal-number}. {title}", "numbered": "{title-with-decimal-number}",
+    "open_end": "{no-paragraph-end-marker}", "place_date": "{place}, {long-date}", "place": "{place}", "lecture": "{german-ordinal} VORTRAG {place}, {long-date}",
+}
+#: the same conditions without look-ahead
+_FORMATS_SQL = {
+    "roman": _has("x", rf"^({_ROMAN})\.$"), "roman_title": _has("x", rf"^({_ROMAN}) [A-ZÄÖÜ0-9][A-ZÄÖÜ «»-]*$"), "capitals": _has("x", "^[A-ZÄÖÜ0-9][A-ZÄÖÜ «»-]*$"), "decimal": _has("x", r"^\d+\. [A-ZÄÖÜ«»-][^.]{2,}$"),
+    "numbered": _has("x", r"^\d+\.\s+[A-ZÄÖÜ«»-][^.]{2,}$") + " AND NOT " + _has("x", rf"^\d+\.\s+{_MONTH}\b"),
+    "open_end": "x <> '' AND NOT regexp_matches(x, '[0-9a-z]') AND NOT " + "(" + " OR ".join(f"suffix(x, '{m}')" for m in P.PARAGRAPH_ENDS) + ")",
+    "place_date": _has("x", f"^{_PLACE}, {_DATE}$"), "place": _has("x", f"^{_PLACE}$"), "lecture": _has("x", f"^({'|'.join(P.ORDINALS)}) VORTRAG {_PLACE}, {_DATE}$"),
+}
+
+
+@query(f"WITH t AS (SELECT doc_id, page_no, line_no, {_trim('text')} AS x FROM {_OL}) " + " UNION ALL ".join(f"SELECT doc_id, page_no, line_no, '{k}' AS format FROM t WHERE {c}" for k, c in _FORMATS_SQL.items()))
+def header_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Which formats, of all placeholders together, a line has (B14)."""
+    hits = F.array_compact(F.array(*[F.when(Y.match_header(F.col("text"), p)[0], F.lit(k)) for k, p in _FORMATS.items()]))
+    return _lines(spark, d).select("doc_id", "page_no", "line_no", F.explode(hits).alias("format"))
+
+
 @query()
 def page_fold(spark: SparkSession, d: str) -> DataFrame:
-    return Y.fold_pages(table(spark, d, "ocr_lines"))
+    return Y.fold_pages(table(spark, d, "ocr_lines"), Y.book_types(table(spark, d, "manifests")))
 
 
 @query("""
@@ -818,6 +871,31 @@ def pattern_removal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan_pages").select("page_id", out.alias("clean"), n.alias("removed")).distinct()
 
 
+def _by_type_sql() -> str:
+    """Removal patterns of each book type, one after the other; a look-ahead for one sign is said by its complement."""
+    clean, n = "CASE", "CASE"
+    for kind, c in P.BOOK_TYPES.items():
+        x, hits = "text_with_headers", "0"
+        for p in c["removal"]:
+            body = p[1:-1].replace(r"(?!\^)[\s\S]+?", r"[^\^](?s:.)*?")
+            hits += " + " + _hits(x, body)
+            x = _sub(x, body, "")
+        clean += f" WHEN kind = '{kind}' THEN {x}"
+        n += f" WHEN kind = '{kind}' THEN {hits}"
+    return f"{clean} ELSE text_with_headers END AS clean, ({n} WHEN text_with_headers IS NOT NULL THEN 0 END)::BIGINT AS removed"
+
+
+@query(f"""
+    WITH m AS (SELECT book_key, arg_max({{'t': original.book_type}}, registered_at) AS t FROM manifests GROUP BY book_key)
+    SELECT page_id, book_key, kind, {_by_type_sql()} FROM (SELECT DISTINCT page_id, s.book_key, t.t AS kind, text_with_headers FROM scan_pages s LEFT JOIN m USING (book_key))""")
+def pattern_removal_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Each page without what the removal patterns of its book's type match (A21, C10, J3)."""
+    types = Y.book_types(table(spark, d, "manifests"))
+    x = table(spark, d, "scan_pages").select("page_id", "book_key", "text_with_headers").distinct().join(types.withColumnRenamed("doc_id", "book_key"), "book_key", "left")
+    out, n = Y.remove_by_type(x, "text_with_headers")
+    return x.select("page_id", "book_key", F.col("book_type").alias("kind"), out.alias("clean"), n.alias("removed"))
+
+
 @query("""
     SELECT extraction_id, count(*) AS n, coalesce(sum(issues_fixed), 0)::BIGINT AS fixed, coalesce(sum(issues_remaining), 0)::BIGINT AS remaining, coalesce(sum(enhancement_summary.spelling_corrections), 0)::BIGINT AS spelling, coalesce(sum(enhancement_summary.debris_removed), 0)::BIGINT AS debris,
            coalesce(sum(enhancement_summary.words_reconstructed), 0)::BIGINT AS words, coalesce(sum(enhancement_summary.characters_fixed), 0)::BIGINT AS characters, round(coalesce(avg(confidence), 1.0), 6) AS confidence

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -17,6 +18,9 @@ from quirespark.functions import text as T
 from quirespark.operators.layout import OCR_SCHEMA
 
 
+METRIC_TOLERANCE = 15.0  # how far a line type's left edge may lie from its offset
+
+
 def file_info(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``path, name, size, modified, format, mime`` without reading contents."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -89,9 +93,48 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").json(path)
 
 
-def write_texts(texts: DataFrame, path: str, key: str = "book_key") -> None:
-    """One folder per book; rows of a book are spread over files by the writer's own tasks."""
-    texts.write.mode("overwrite").partitionBy(key).parquet(path)
+def write_texts(texts: DataFrame, path: str, key: str = "book_key", buckets: int = 64) -> None:
+    """Books in a fixed number of folders by the hash of their key; a large book is spread over files by the writer's own tasks."""
+    texts.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_texts(spark: SparkSession, path: str, keys: list[str] | None = None, key: str = "book_key", buckets: int = 64) -> DataFrame:
+    """What write_texts() wrote; of given books only their folders are read."""
+    df = spark.read.parquet(path)
+    if keys is not None:
+        of = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(buckets)).cast("int") for k in keys])).first()[0] if keys else []
+        df = df.filter(F.col("bucket").isin(*of) & F.col(key).isin(*keys)) if keys else df.limit(0)
+    return df.drop("bucket")
+
+
+def book_types(path: str) -> dict[str, dict]:
+    """Book types from a JSON or (where a parser is installed) YAML file.
+
+    A type has ``header-types`` (or ``headerTypes``, ``header-type``) of ``level1`` to ``level3``
+    with ``formats`` (strings, or ``pattern`` and ``multipleLines``), ``metrics`` (line
+    type to offset), and ``text-removal-patterns``; all may be missing. Types that the
+    file lacks have no formats, offsets or patterns; 'default' is always there.
+    """
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    if path.endswith(".json"):
+        data = json.loads(raw)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML needs a parser; give the book types as JSON") from e
+        data = yaml.safe_load(raw)
+    if not isinstance(data, dict):
+        raise ValueError(f"{path} holds no book types")
+    out: dict[str, dict] = {"default": {"headers": [[], [], []], "offsets": {}, "removal": []}}
+    for name, c in data.items():
+        c = c or {}
+        head = c.get("header-types") or c.get("headerTypes") or c.get("header-type") or {}
+        levels = [[(x, False) if isinstance(x, str) else (x["pattern"], bool(x.get("multipleLines"))) for x in ((head.get(f"level{k}") or {}).get("formats") or [])] for k in (1, 2, 3)]
+        offsets = {k: (float(v), METRIC_TOLERANCE) for k, v in (c.get("metrics") or {}).items() if k != "paragraph-text"}
+        out[name] = {"headers": levels, "offsets": offsets, "removal": list(c.get("text-removal-patterns") or c.get("textRemovalPatterns") or [])}
+    return out
 
 
 def not_yet_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -103,6 +103,9 @@ def test_centring(spark, x0, x1, want):
         ("18. August 1787", "{title-with-decimal-number}", False),
         ("5. Ethische und historische Wissenschaften", "{title-with-decimal-number}", True),
         ("ERSTER VORTRAG Dornach, 12. September 1921", "{german-ordinal} VORTRAG {place}, {long-date}", False),
+        ("erster VORTRAG Bad Boll, 12. September 1921", "{german-ordinal} VORTRAG {place}, {long-date}", True),
+        ("erster VORTRAG DORNACH, 12. September 1921", "{german-ordinal} VORTRAG {place}, {long-date}", False),
+        ("Bad-Boll am Wald", "{place}", False),
     ],
 )
 def test_header_patterns(spark, text, pattern, want):
@@ -125,6 +128,39 @@ def test_page_fold():
     assert Y.glue("foo-", "bar") == "foobar" and Y.glue("foo-", "Bar") == "foo- Bar"
 
 
+def test_page_fold_by_book_type(spark, tmp_path):
+    x = line(spark, ("Chapter {number}", 1200, 1250), ("  Das ist ein Wort-  ", 100, 500), (" teil des Ganzen ", 100, 500), ("ERSTES BUCH", 1100, 1380))
+    pages = x.union(x.withColumn("doc_id", F.lit("e"))).union(x.withColumn("doc_id", F.lit("none")))
+    types = spark.createDataFrame([("d", "werk"), ("e", "ebook"), ("f", "x")], "doc_id string, book_type string")
+    got = {r["doc_id"]: r["text"] for r in Y.fold_pages(pages, types).collect()}
+    assert got["e"].startswith("\n\n# Chapter {number}\n\n") and "Das ist ein Wortteil des Ganzen ERSTES BUCH" in got["e"]
+    assert "# ERSTES BUCH" in got["d"] and "#" not in got["none"]
+    (tmp_path / "types.json").write_text(json.dumps({"ebook": {"header-type": {"level1": {"formats": ["Das ist ein Wort-"]}}, "metrics": {"paragraph-text": 0, "quote-text": 200}, "text-removal-patterns": ["/x+/"]}, "bare": None}))
+    config = A.book_types(str(tmp_path / "types.json"))
+    assert config["ebook"]["offsets"] == {"quote-text": (200.0, 15.0)} and config["bare"]["headers"] == [[], [], []] and "default" in config
+    got = {r["doc_id"]: r["text"] for r in Y.fold_pages(pages, types, config).collect()}
+    assert "#" not in got["d"] and "# Das ist" not in got["e"]  # a header does not go on in small letters
+    df = spark.createDataFrame([("ebook", "axxb"), ("other", "xx"), (None, "x"), ("ebook", None)], "book_type string, t string")
+    out, n = Y.remove_by_type(df, "t", config)
+    assert [tuple(r) for r in df.select(out, n).collect()] == [("ab", 1), ("xx", 0), ("x", 0), (None, None)]
+
+
+def test_lines_without_box_and_raised_marks(spark):
+    x = line(spark, ("a", 100, 400), ("b", 100, 400)).withColumn("x0", F.when(F.col("line_no") == 0, F.col("x0")))
+    assert [r["text"] for r in Y.fold_pages(x).collect()] == ["a"]
+    sym = {"text": "1", "bbox": {"x0": 0, "y0": 50, "x1": 1, "y1": 70}, "baseline": {"x0": 0, "y0": 0, "x1": 0, "y1": 100, "has_baseline": True}}
+    words = [{"text": "1a", "bbox": {"x0": 0, "y0": 50, "x1": 1, "y1": 100}, "symbols": [sym]}]
+    w = spark.read.schema(Y.OCR_SCHEMA).json(spark.sparkContext.parallelize([json.dumps({"doc_id": "d", "page_no": 1, "paragraphs": [{"lines": [{"text": "1a", "bbox": {"x0": 100, "y0": 0, "x1": 400, "y1": 1}, "words": words}, {"text": "b", "bbox": {"x0": 100, "y0": 0, "x1": 400, "y1": 1}, "words": []}]}]})]))
+    lines = Y.flatten(w)
+    assert [r["line_type"] for r in Y.line_types(lines, Y.metrics(lines)).orderBy("line_no").collect()] == ["footnote-start", "paragraph-text"]
+
+
+def test_merge_of_matches(spark):
+    one = lambda c, t: json.dumps({"matchedEntries": [{"originalIndex": 1, "correctedText": t, "confidence": c, "position": 2}], "newEntries": [], "corrections": [], "confidence": 0.5})
+    p = S.parse_responses(spark.createDataFrame([("a", 0, one(0.5, "x")), ("a", 1, one(0.7, "y")), ("a", 2, one(0.7, "z")), ("a", 3, "no")], "book_key string, chunk_no int, j string"), "j")
+    assert [tuple(r) for r in S.merge_matches(p).collect()] == [("a", 1, "y", 2, 0.7)]
+
+
 def test_fold_pages_takes_nulls_and_repeats(spark):
     x = line(spark, (None, 100, 200), ("Text", 100, 200))
     got = Y.fold_pages(x.union(x)).collect()
@@ -193,7 +229,8 @@ def test_sources(spark, tmp_path):
     back = A.manifest_fields(A.manifest_yaml(m)).first()
     assert (back["author"], back["text_before"], back["text_after"], back["book_structure"]) == ("A", None, "end", ["x", "y"])
     A.write_texts(spark.createDataFrame([("k", 1, "t")], "book_key string, n int, t string"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert A.read_texts(spark, str(tmp_path / "out"), ["k"]).columns == ["book_key", "n", "t"]
+    assert [A.read_texts(spark, str(tmp_path / "out"), k).count() for k in (None, ["k", "z"], ["z"], [])] == [1, 1, 0, 0]
 
 
 def test_streaming(spark, tmp_path):
