@@ -5,8 +5,8 @@ Method: script-aware repair. A text is first brought to one character form
 mathematical forms, one kind of blank, nothing that leaves no mark). Then the
 scripts of each token's letters are counted. In a token of mixed scripts the
 letters outside its dominant script are replaced by their look-alikes of that
-script, or, where that leaves it mixed or the result is unknown, those outside
-the next one. The result is accepted only if it exists in the corpus
+script, or, where that leaves it mixed or the result is unknown or stands more
+rarely in the corpus, those outside the next one or the text's own. The result is accepted only if it exists in the corpus
 vocabulary, which holds words as they stand, never as they would be repaired;
 otherwise the token stays as it is.
 
@@ -114,7 +114,7 @@ def repairs(text: str) -> list[tuple[int, str, str, str, str, bool]]:
         if "O" in n:
             pass
         elif not whole:
-            order = sorted(n, key=lambda s: (-n[s], s != here))
+            order = sorted({*n, here} - {"O"}, key=lambda s: (-n[s], s != here))
             tries = [x for s in order for x in [token.translate(_TO[s])] if {*map(_script, x)} == {s}]
         elif here not in n and not _truly(token):
             own = next(iter(n))
@@ -214,7 +214,8 @@ def _decisions(both: DataFrame) -> DataFrame:
     for c in ("token", "first", "second"):
         cases = cases.withColumn("w", F.lower(c)).join(known.select(F.col("word").alias("w"), F.col("n").alias(f"n_{c}")), "w", "left").drop("w")
     least = F.when(F.col("whole"), F.coalesce("n_token", F.lit(0))).otherwise(0)
-    return cases.select(*_CASE, F.when(F.col("n_first") > least, F.col("first")).when(F.col("n_second") > least, F.col("second")).otherwise(F.col("token")).alias("final"))
+    first, second = F.coalesce("n_first", F.lit(0)), F.coalesce("n_second", F.lit(0))
+    return cases.select(*_CASE, F.when((first > least) & (first >= second), F.col("first")).when(F.col("n_second") > least, F.col("second")).otherwise(F.col("token")).alias("final"))
 
 
 def keys(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:

@@ -237,7 +237,7 @@ def repaired_brute(texts):
         t = lookalikes.plain(t)
         for at, token, _, first, second, whole in lookalikes.repairs(t):
             least = have[token.lower()] if whole else 0
-            new = next((x for x in (first, second) if x and have[x.lower()] > least), token)
+            new = max((x for x in (first, second) if x and have[x.lower()] > least), key=lambda x: have[x.lower()], default=token)
             t = t[:at] + new + t[at + len(token) :]
         out.append(t)
     return out
