@@ -430,10 +430,18 @@ def unfilled(documents: DataFrame, p: DataFrame, doc_id: str = "doc_id", text: s
     wanted = _few(c.select("end").distinct())
     beside = durable(p.select("doc_id", F.explode("ends").alias("end")).join(wanted, "end", "left_semi").select(F.col("doc_id").alias("__id")).distinct())
     frames = _few(c.select("frame").distinct())
+    # while the open units' ends are few, the units of the posts are chosen by them, too
+    ends = p.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in c.select("end").distinct().collect()) if small(c.select("end").distinct(), BROADCAST_ROWS) else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chosen = ends.value
         for b in batches:
-            rows = [(i, f, _digest(filling)) for i, text in zip(b["doc_id"], b["text"]) for unit in _aligned_units(text) for f, filling, _, _ in _frames(_bare(unit), True)]
+            rows = []
+            for i, text in zip(b["doc_id"], b["text"]):
+                for unit in _aligned_units(text):
+                    bare = _bare(unit)
+                    if chosen is None or not chosen.isdisjoint(_ends(bare)):
+                        rows += [(i, f, _digest(filling)) for f, filling, _, _ in _frames(bare, True)]
             yield pd.DataFrame(rows, columns=["doc_id", "frame", "filling"])
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(_few(beside), F.col("doc_id") == F.col("__id"), "left_semi")
